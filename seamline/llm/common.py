@@ -40,7 +40,7 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.shiftrightunsigned(key, 16), F.lit(buckets)).cast("long")
 
 
-def dense_positions(df: DataFrame, group: str, tie: list[str], rows: int, bucket_rows: int = 50_000, out: str = "pos") -> DataFrame:
+def dense_positions(df: DataFrame, group: str, tie: list[str], rows: int, bucket_rows: int = 4_000, out: str = "pos") -> DataFrame:
     """Number the rows of each group from 0 without gaps, in an order fixed by a hash of ``tie``.
 
     No group meets in one task: rows are ordered within hash buckets of about
