@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, sharding, topk
+from . import bpe, jaccard, mixing, quality, sharding, topk
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
     "op3_differencing_shards": sharding.op3_differencing_shards,
     "op5_divergence_quality": quality.op5_divergence_quality,
     "op6_merge_replay_bpe": bpe.op6_merge_replay_bpe,
+    "op7_sparse_product_jaccard": jaccard.op7_sparse_product_jaccard,
     "op9_taat_topk": topk.op9_taat_topk,
 }
 SQL = {"op9_taat_topk": topk.OP9_SQL}
