@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, mixing, quality, sharding, topk
+from . import bpe, dedup, jaccard, mixing, quality, sharding, topk
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
     "op3_differencing_shards": sharding.op3_differencing_shards,
+    "op4_run_length_dedup": dedup.op4_run_length_dedup,
     "op5_divergence_quality": quality.op5_divergence_quality,
     "op6_merge_replay_bpe": bpe.op6_merge_replay_bpe,
     "op7_sparse_product_jaccard": jaccard.op7_sparse_product_jaccard,
