@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, jaccard, mixing, quality, sharding, topk
+from . import bpe, dedup, jaccard, mixing, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_merge_replay_bpe": bpe.op6_merge_replay_bpe,
     "op7_sparse_product_jaccard": jaccard.op7_sparse_product_jaccard,
     "op9_taat_topk": topk.op9_taat_topk,
+    "op10_markov_secrets": secrets.op10_markov_secrets,
 }
 SQL = {"op9_taat_topk": topk.OP9_SQL}
