@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, jaccard, mixing, quality, secrets, sharding, topk
+from . import bpe, dedup, jaccard, mixing, pii, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
+    "op2_surrogate_pii": pii.op2_surrogate_pii,
     "op3_differencing_shards": sharding.op3_differencing_shards,
     "op4_run_length_dedup": dedup.op4_run_length_dedup,
     "op5_divergence_quality": quality.op5_divergence_quality,
