@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, jaccard, mixing, pii, quality, secrets, sharding, topk
+from . import bpe, chat, dedup, jaccard, mixing, pii, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
@@ -12,7 +12,8 @@ QUERIES = {
     "op5_divergence_quality": quality.op5_divergence_quality,
     "op6_merge_replay_bpe": bpe.op6_merge_replay_bpe,
     "op7_sparse_product_jaccard": jaccard.op7_sparse_product_jaccard,
+    "op8_snapshot_chat": chat.op8_snapshot_chat,
     "op9_taat_topk": topk.op9_taat_topk,
     "op10_markov_secrets": secrets.op10_markov_secrets,
 }
-SQL = {"op9_taat_topk": topk.OP9_SQL}
+SQL = {"op8_snapshot_chat": chat.OP8_SQL, "op9_taat_topk": topk.OP9_SQL}
