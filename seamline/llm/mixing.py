@@ -16,13 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dense_positions, fresh, table
+from .common import dense_positions, table
 
 #: Target weights of the query and the pipeline, in hundredths; other sources share REST_WEIGHT.
 TARGET_WEIGHTS = {"src0": 20, **{f"src{i}": 4 for i in range(1, 20)}}
 REST_WEIGHT = 4
 BLOCK_ROWS = 64
 REST = "(rest)"
+ADDED = ("mix_block", "mix_slot", "mix_position")
 
 
 def edf_period(weights: dict[str, int]) -> list[str]:
@@ -90,15 +91,16 @@ def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_ro
     Null sources and those without a weight share one pooled source of weight ``rest_weight``.
     Rows of a source are ordered by a hash of id and source; repeated rows each get a position;
     null ids are ordered like any value. An empty input gives an empty result. Other columns stay,
-    and a column named like an added one is replaced. Weights are positive; their number and sum
-    bound the broadcast tables.
+    whatever their names, and a column named like an added one is replaced. Weights are positive;
+    their number and sum bound the broadcast tables.
     """
     spark = docs.sparkSession
-    src = fresh(docs, "_src")
     names = [s for s in weights if weights[s] > 0]
-    df = docs.drop("mix_block", "mix_slot", "mix_position").withColumn(src, F.when(F.col(source_col).isin(names), F.col(source_col)).otherwise(F.lit(REST)))
-    rows = {r[0]: r[1] for r in df.groupBy(src).count().collect()}  # one a weight at most
-    number = dense_positions(df, src, [id_col, source_col], sum(rows.values()), out="_pos")
+    columns = [c for c in docs.columns if c.lower() not in ADDED]
+    source = F.col(f"`{source_col}`")
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), source.alias("source"), F.when(source.isin(names), source).otherwise(F.lit(REST)).alias("src"))
+    rows = {r[0]: r[1] for r in df.groupBy("src").count().collect()}  # one a weight at most
+    number = dense_positions(df, "src", ["id", "source"], sum(rows.values()), out="_pos")
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, {s: weights[s] for s in names} | {REST: max(1, rest_weight)})
     spans, places = [], []
     for i, p in enumerate(plan):
@@ -110,13 +112,13 @@ def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_ro
     span = spark.createDataFrame(spans, "p_src string, p_phase int, p_first long, p_end long, p_start long, p_a long, p_total long")
     place = spark.createDataFrame(places, "q_src string, q_phase int, q_k long, q_slot long")
     out = number.withColumn("mix_block", F.expr(f"_pos div {block_rows}"))
-    out = out.join(F.broadcast(span), (F.col(src) == F.col("p_src")) & (F.col("mix_block") >= F.col("p_first")) & (F.col("mix_block") < F.col("p_end")))
+    out = out.join(F.broadcast(span), (F.col("src") == F.col("p_src")) & (F.col("mix_block") >= F.col("p_first")) & (F.col("mix_block") < F.col("p_end")))
     out = out.withColumn("_k", F.col("mix_block") - F.col("p_first"))
-    out = out.join(F.broadcast(place), (F.col(src) == F.col("q_src")) & (F.col("p_phase") == F.col("q_phase")) & (F.col("_k") % F.col("p_a") == F.col("q_k")))
+    out = out.join(F.broadcast(place), (F.col("src") == F.col("q_src")) & (F.col("p_phase") == F.col("q_phase")) & (F.col("_k") % F.col("p_a") == F.col("q_k")))
     out = out.withColumn("mix_slot", F.col("p_start") + F.expr("(_k div p_a) * p_total") + F.col("q_slot"))
     missing = sum((F.when(F.col("mix_slot") > at, F.lit(n)).otherwise(F.lit(0)) for at, n in short), F.lit(0))
     out = out.withColumn("mix_position", F.col("mix_slot") * block_rows - missing + F.col("_pos") % block_rows)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != src], "mix_block", "mix_slot", "mix_position")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns], *ADDED)
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def surrogates(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataF
     replaced. Empty input gives an empty result. ``key`` fixes the surrogates for a given corpus.
     """
     docs = docs.drop("n_entities")
-    row, found = fresh(docs, "_row"), fresh(docs, "_found")
+    row, found, new = fresh(docs, "_row"), fresh(docs, "_found"), fresh(docs, "_new")
     text = F.col(f"`{text_col}`")
     has = F.coalesce(F.regexp_like(text, F.lit(ANY)), F.lit(False))
     hit = docs.where(has).select("*", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias(found))
@@ -179,9 +179,9 @@ def surrogates(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataF
     table_of = each.join(subs, ["kind", "canon"]).groupBy("match").agg(F.sort_array(F.collect_list(F.struct("at", "sub"))).alias("s")).select("match", rendered(F.col("match"), F.col("s.sub")).alias("new"))
     keyed = hit.withColumn(row, F.struct(F.xxhash64(text), F.sha2(text, 256)))
     texts = keyed.select(row, found).dropDuplicates([row])
-    words = texts.select(row, F.posexplode(found).alias("at", "match")).join(table_of, "match").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_new"))
+    words = texts.select(row, F.posexplode(found).alias("at", "match")).join(table_of, "match").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias(new))
     between = F.split(text, ANY, -1)
-    built = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_new.new"), i), F.lit("")))), "")
+    built = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(f"{new}.new"), i), F.lit("")))), "")
     changed = keyed.join(words, row).withColumn("n_entities", F.size(found)).withColumn(text_col, built)
     names = [*[F.col(f"`{c}`") for c in docs.columns], F.col("n_entities")]
     return docs.where(~has).withColumn("n_entities", F.lit(0)).select(*names).union(changed.select(*names))
