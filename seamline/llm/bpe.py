@@ -163,7 +163,7 @@ def _encode(name: str, pattern: str, with_ids: bool):
                 ids = encode_texts(vocabulary, words, texts, kept)
                 out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(vocabulary.decode(x)).hexdigest() for x in ids])]
                 if with_ids:
-                    out.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())))
+                    out.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 rest = [batch.column(k).slice(i, j - i) for k in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, *out], names=[*batch.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
@@ -171,7 +171,7 @@ def _encode(name: str, pattern: str, with_ids: bool):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """The columns ``keep`` of each row, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (list of long).
+    """The columns ``keep`` of each row, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (list of int).
 
     Null texts count as empty: no ids, the hashes of no bytes. Texts are encoded whole, without
     special tokens. Repeated rows and ids are encoded each; ``keep`` may have any names but those
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text
     docs.sparkSession.sparkContext.addFile(ranks_path)
     name = ranks_path.rsplit("/", 1)[-1]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<long>"] * with_ids])
+    schema = ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids])
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     out = rows.mapInArrow(_encode(name, pattern, with_ids), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, table
 from .graph import components
@@ -62,21 +63,21 @@ def _sketches(width: int, num: int, den: int):
                 p = np.where(n > 0, sketch_size(n, num, den), 0)
                 keys = b"".join(set_key(grams[a:b]) if b > a else b"\0" * 16 for a, b in zip(bounds[:-1], bounds[1:], strict=True))
                 part = np.concatenate([grams[a : a + k] for a, k in zip(bounds[:-1], p, strict=True)]) if block.n else grams
-                yield pa.RecordBatch.from_pydict({"chunk": [pid << 22 | count], "ids": [batch.column(0).slice(i, j - i).to_pylist()], "n": [n.tolist()], "keys": [keys], "p": [p.tolist()], "grams": [part.tobytes()]}, schema=_SKETCH)
+                yield pa.RecordBatch.from_pydict({"chunk": [pid << 22 | count], "ids": [batch.column(0).slice(i, j - i).to_pylist()], "hashes": [batch.column(2).slice(i, j - i).to_pylist()], "n": [n.tolist()], "keys": [keys], "p": [p.tolist()], "grams": [part.tobytes()]}, schema=_SKETCH)
                 count += 1
 
     return sketch
 
 
-_SKETCH = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("keys", pa.binary()), ("p", pa.list_(pa.int64())), ("grams", pa.binary())])
-_SKETCH_SQL = "chunk long, ids array<long>, n array<long>, keys binary, p array<long>, grams binary"
+_SKETCH = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("keys", pa.binary()), ("p", pa.list_(pa.int64())), ("grams", pa.binary())])
+_SKETCH_SQL = "chunk long, ids array<long>, hashes array<long>, n array<long>, keys binary, p array<long>, grams binary"
 
 
 def _documents(batches):
     for batch in batches:
         for row in batch.to_pylist():
             m = len(row["ids"])
-            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * m, pa.int64()), pa.array(range(m), pa.int64()), pa.array(row["ids"], pa.int64()), pa.array(row["n"], pa.int64()), pa.array([row["keys"][16 * k : 16 * k + 16] if n else None for k, n in enumerate(row["n"])], pa.binary())], names=["chunk", "at", "doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * m, pa.int64()), pa.array(range(m), pa.int64()), pa.array(row["ids"], pa.int64()), pa.array(row["hashes"], pa.int64()), pa.array(row["n"], pa.int64()), pa.array([row["keys"][16 * k : 16 * k + 16] if n else None for k, n in enumerate(row["n"])], pa.binary())], names=["chunk", "at", "doc_id", "hash", "n", "key"])
 
 
 def _parts(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,22 +215,14 @@ def _cell(num: int, den: int):
     return multiply
 
 
-def jaccard_join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each of ``docs``: doc_id, n_shingles, component_id, n_links.
-
-    Two rows link when den * intersection >= num * union of their sets of ``width``-word shingles
-    (words lower-cased in A-Z); n_links counts the rows linked, equal sets included. Texts that are
-    null, empty or without words have an empty set and no links; those of fewer words have one
-    shingle. Rows that repeat an id or a text are rows each; component_id is the smallest id
-    reachable. Ids are whole numbers; a null id takes part and is never the smallest, unless alone.
-    Empty input gives an empty result; other columns play no part.
-    """
-    spark = docs.sparkSession
+def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each of ``docs``: doc_id, hash (of the text), n, key, root (null where the set is empty), component_id, n_links."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
     sketches = cut(rows.mapInArrow(_sketches(width, num, den), _SKETCH_SQL))
     total = sketches.agg(F.sum(F.octet_length("grams")).alias("x")).first()["x"] or 0
     buckets = int(max(1, min(1 << 22, -(-(total // 8) // COUNTED))))
-    small = cut(sketches.select("chunk", "ids", "n", "keys").mapInArrow(_documents, "chunk long, at long, doc_id long, n long, key binary"))
+    small = cut(sketches.select("chunk", "ids", "hashes", "n", "keys").mapInArrow(_documents, "chunk long, at long, doc_id long, hash long, n long, key binary"))
     classes = cut(small.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk", "at", "n")).alias("f"), F.count(F.lit(1)).alias("copies")).select("key", "copies", "f.doc_id", "f.chunk", "f.at", "f.n", F.expr("(f.chunk << 18) | f.at").alias("node")))
     found = sketches.select("chunk", "grams").mapInArrow(_fingerprints(buckets), "bucket long, chunk long, prints binary, counts binary").groupBy("bucket").applyInPandas(_frequencies, "bucket long, chunk long, prints binary, counts binary")
     told = found.select("chunk", F.lit(False).alias("kind"), "bucket", "prints", "counts").union(classes.select("chunk", F.lit(True), "at", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
@@ -252,8 +245,43 @@ def jaccard_join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100,
     counts = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     known = classes.join(roots, "node", "left").join(counts, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = known.join(least, "root").select("key", "component_id", "n_links")
-    return small.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = known.join(least, "root").select("key", "root", "component_id", "n_links")
+    return small.join(named, "key", "left")
+
+
+def jaccard_join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each of ``docs``: doc_id, n_shingles, component_id, n_links.
+
+    Two rows link when den * intersection >= num * union of their sets of ``width``-word shingles
+    (words lower-cased in A-Z); n_links counts the rows linked, equal sets included. Texts that are
+    null, empty or without words have an empty set and no links; those of fewer words have one
+    shingle. Rows that repeat an id or a text are rows each; component_id is the smallest id
+    reachable. Ids are whole numbers; a null id takes part and is never the smallest, unless alone.
+    Empty input gives an empty result; other columns play no part.
+    """
+    out = _joined(docs, width, num, den, id_col, text_col)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, of each group of linked ones only one: that of the smallest id, with any columns.
+
+    Texts without words are linked with nothing and stay, each row. Of rows that repeat both id and text,
+    and of those that share the group's smallest id, one stays.
+    """
+    rows = _joined(docs, width, num, den, id_col, text_col)
+    least = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("f"))
+    again = rows.where("root is not null").groupBy("doc_id", "hash").agg((F.count(F.lit(1)) > 1).alias("again"))
+    alone = rows.where("root is null").select("doc_id", "hash", F.lit(False).alias("again")).distinct()
+    chosen = least.select("f.doc_id", "f.hash")
+    chosen = chosen.join(again, chosen["doc_id"].eqNullSafe(again["doc_id"]) & (chosen["hash"] == again["hash"])).select(chosen["doc_id"], chosen["hash"], "again")
+    chosen = cut(chosen.union(alone)).select(F.col("doc_id").alias("keep_id"), F.col("hash").alias("keep_hash"), "again")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    kept = whole.join(chosen, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))
+    if not chosen.where("again").isEmpty():
+        place = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("hash"))
+        kept = kept.withColumn("place", place).where("not again or place = 1")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_sparse_product_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
