@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and tokens that a character model of random strings explains best.
 
 Two first-order Markov models over characters are trained from labelled samples: random strings
-(digests of counted seeds in hex and base 64) and ordinary identifiers (words of a bounded sample
-of documents). A token is a secret when its log-likelihood ratio, whole and per character, is over
+(digests of counted seeds in hex and base 64) and ordinary identifiers (words of WORD_DOCS different
+documents, those of least hash). A token is a secret when its log-likelihood ratio, whole and per character, is over
 the limits. All of it is DataFrame expressions; only character-pair counts reach the driver.
 """
 
@@ -57,7 +57,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     spark = docs.sparkSession
     seed = spark.range(RANDOM_STRINGS).select(F.sha2(F.concat(F.lit("random "), "id"), 256).alias("hex"))
     random = seed.select(F.explode(F.array("hex", F.base64(F.unhex("hex")))).alias("token"), F.lit(1).alias("random"))
-    sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(WORD_DOCS)
+    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
+    last = rows.select("h").distinct().orderBy("h").limit(WORD_DOCS).agg(F.max("h")).first()[0]
+    sample = rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text"))
     words = sample.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z][A-Za-z_]{3,}"), F.lit(0))).alias("token"), F.lit(0).alias("random"))
     pairs = random.union(words).select("token", "random", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at"))
     rows = pairs.groupBy("random", F.ascii(F.substring("token", F.col("at"), F.lit(1))).alias("a"), F.ascii(F.substring("token", F.col("at") + 1, F.lit(1))).alias("b")).count().collect()
