@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .rlbwt import RunIndex
-from .textblock import TextBlock, blocks, mix
+from .textblock import TextBlock, blocks
 
 LENGTH, ANCHOR = 400, 200
 #: Bytes of text that one index takes.
@@ -47,37 +47,22 @@ def segments(block: TextBlock, length: int = LENGTH, anchor: int = ANCHOR) -> di
     if n < length:
         return none
     sums = block.sums()
-    at = np.arange(n - anchor + 1)
-    h = block.substring_hash(sums, at, at + anchor)
-    least = sliding_least(h, length - anchor + 1)
-    i = np.arange(len(least))
-    text = np.repeat(np.arange(block.n), np.diff(block.starts))[: len(least)]
-    valid = i + length <= block.starts[text + 1]
-    if not valid.any():
-        return none
-    change = np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (valid[1:] != valid[:-1])]
+    h = block.window_hash(sums, anchor)
+    bits = np.uint64(n.bit_length())
+    place = np.arange(len(h), dtype=np.uint64)
+    seed = sliding_least(h >> bits << bits | place, length - anchor + 1) & ((np.uint64(1) << bits) - np.uint64(1))
+    size = np.diff(block.starts)
+    valid = place[: len(seed)].view(np.int64) <= np.repeat(block.starts[1:] - length, size)[: len(seed)]
+    text_first = np.zeros(len(seed), bool)
+    text_first[block.starts[:-1][block.starts[:-1] < len(seed)]] = True
+    change = text_first
+    change[0] = True
+    change[1:] |= (seed[1:] != seed[:-1]) | (valid[1:] != valid[:-1])
     first = np.flatnonzero(change)
-    last = np.r_[first[1:], len(least)] - 1
+    last = np.r_[first[1:], len(seed)] - 1
     first, last = first[valid[first]], last[valid[first]]
-    low = np.flatnonzero(h <= least[valid].max())
-    out_first, out_last, out_value = [], [], []
-    while len(first):
-        value = least[first]
-        k = np.searchsorted(low, first)
-        wrong = np.arange(len(first))
-        while len(wrong):
-            wrong = wrong[h[low[k[wrong]]] != value[wrong]]
-            k[wrong] += 1
-        seed = low[k]
-        end = np.minimum(last, seed)
-        out_first.append(first)
-        out_last.append(end)
-        out_value.append(value)
-        more = last > seed
-        first, last = seed[more] + 1, last[more]
-    first, last, value = np.concatenate(out_first), np.concatenate(out_last), np.concatenate(out_value)
-    own = text[first]
-    return {"text": own, "start": first - block.starts[own], "windows": last - first + 1, "anchor": mix(value).view(np.int64), "segment": block.substring_hash(sums, first, last + length).view(np.int64)}
+    own = np.searchsorted(block.starts, first, "right") - 1
+    return {"text": own, "start": first - block.starts[own], "windows": last - first + 1, "anchor": h[seed[first]].view(np.int64), "segment": block.substring_hash(sums, first, last + length).view(np.int64)}
 
 
 _SEGMENT_SQL = "anchor long, segment long, doc_id long, hash long, start int, windows short"
@@ -214,7 +199,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("key"), F.xxhash64("text").alias("hash"))
     long_enough = rows.where(F.octet_length("text") >= length).select("text", "key", "hash")
-    anchors = long_enough.mapInArrow(_emit(length, anchor, True), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
+    anchors = cut(long_enough.mapInArrow(_emit(length, anchor, True), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"))  # written, so that the join may split a frequent anchor
     seen = cut(long_enough.mapInArrow(_emit(length, anchor, False), _SEGMENT_SQL).join(anchors, "anchor"))
     kinds = seen.groupBy("anchor", "segment", "windows").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "hash", "start")).alias("at"))
     by_anchor = kinds.groupBy("anchor").agg(F.sum(F.col("windows") + (length - 1)).alias("bytes"), F.min("at.doc_id").alias("home"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Steps of one lane; lanes run side by side.
-LANE = 1024
+LANE = 128
 
 
 class RunIndex:
@@ -54,16 +54,22 @@ class RunIndex:
         key, padded = np.zeros(n, np.int64), np.r_[sym, np.zeros(depth, np.int64)]
         for i in range(depth):
             key = key << bits | padded[i : i + n]
-        while True:
-            sa = np.argsort(key)
-            s = key[sa]
-            ordinal = np.cumsum(np.r_[False, s[1:] != s[:-1]])
-            rank = np.empty(n, np.int64)
-            rank[sa] = ordinal
-            if ordinal[-1] == n - 1:
+        sa = np.argsort(key)
+        s, rank = key[sa], np.empty(n, np.int64)
+        del key, padded
+        p = np.arange(n)
+        while True:  # a rank is the row of its group's head; only groups of several rows are sorted again
+            head = np.r_[True, s[1:] != s[:-1]]
+            rank[sa[p]] = p[np.maximum.accumulate(np.where(head, np.arange(len(p)), 0))]
+            p = p[~(head & np.r_[head[1:], True])]
+            if not len(p):
                 return sa, rank
-            key = rank * (n + 1)
-            key[: n - depth] += rank[depth:] + 1
+            at = sa[p]
+            key = rank[at] * (n + 1)
+            inside = at + depth < n
+            key[inside] += rank[at[inside] + depth] + 1
+            order = np.argsort(key)
+            sa[p], s = at[order], key[order]
             depth *= 2
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -61,6 +61,13 @@ class TextBlock:
             _, down = powers(len(sums))
             return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U64))
 
+    @staticmethod
+    def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
+        """Hash of each ``width`` bytes in a row, as substring_hash gives it."""
+        with np.errstate(over="ignore"):
+            _, down = powers(len(sums))
+            return mix((sums[width:] - sums[:-width]) * down[: len(sums) - width] + U64(width))
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and end byte of each word, and the text it is in. Words end at ASCII space or a text's end."""
         inside = ~SPACE[self.buf]
