@@ -27,7 +27,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Words kept by a task; when there are more, it starts anew.
 KEPT_WORDS = 200_000
 #: Characters of text taken up at once (one longer text stands alone).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: Ends of the ranges of ranks, each about a tenth longer than the one before.
 _ENDS = np.unique(np.r_[np.geomspace(256, 1 << 17, 66).astype(np.int64), np.iinfo(np.int64).max])
 NONE = np.iinfo(np.int64).max

@@ -25,7 +25,7 @@ from .textblock import TextBlock, blocks
 
 LENGTH, ANCHOR = 400, 200
 #: Bytes of text that one index takes.
-INDEX_BYTES = 3_000_000
+INDEX_BYTES = 2_000_000
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
