@@ -2,7 +2,7 @@
 
 Documents are rows and word shingles columns of a 0/1 matrix; its product with its transpose holds
 the overlaps. To keep the product to rows that can matter, each distinct shingle set gives its
-smallest shingle hashes, 15 hundredths more than linked sets are bound to share, and of these, the
+smallest shingle hashes, EXTRA hundredths more than linked sets are bound to share, and of these, the
 rarest in the corpus that suffice for any linked pair to share one. Rows sharing such a column and
 of near enough size are chained into families, linearly in their number. Families are then cut into
 blocks of rows; for each pair of blocks all overlaps are accumulated over the whole sets, and pairs
@@ -28,9 +28,11 @@ from .shingles import shingle_sets
 from .textblock import blocks
 
 #: Hundredths of a set that its sketch holds beyond the least that an exact filter needs.
-EXTRA = 15
+EXTRA = 10
 #: Rows of a block of the product, and shingle fingerprints that one task counts.
 ROWS, COUNTED = 512, 2_000_000
+#: Most dropped rows (an id and a hash each) that keep_one broadcasts; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def need(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -216,19 +218,19 @@ def _cell(num: int, den: int):
 
 
 def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """A row for each of ``docs``: doc_id, hash (of the text), n, key, root (null where the set is empty), component_id, n_links."""
+    """A row for each of ``docs``: doc_id, hash (of the text), n, key, root (null where the set is empty), component_id and first_hash (the row that stands for the group), n_links."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
     sketches = cut(rows.mapInArrow(_sketches(width, num, den), _SKETCH_SQL))
     total = sketches.agg(F.sum(F.octet_length("grams")).alias("x")).first()["x"] or 0
     buckets = int(max(1, min(1 << 22, -(-(total // 8) // COUNTED))))
     small = cut(sketches.select("chunk", "ids", "hashes", "n", "keys").mapInArrow(_documents, "chunk long, at long, doc_id long, hash long, n long, key binary"))
-    classes = cut(small.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk", "at", "n")).alias("f"), F.count(F.lit(1)).alias("copies")).select("key", "copies", "f.doc_id", "f.chunk", "f.at", "f.n", F.expr("(f.chunk << 18) | f.at").alias("node")))
+    classes = cut(small.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "chunk", "at", "n")).alias("f"), F.count(F.lit(1)).alias("copies")).select("key", "copies", "f.doc_id", "f.hash", "f.chunk", "f.at", "f.n", F.expr("(f.chunk << 18) | f.at").alias("node")))
     found = sketches.select("chunk", "grams").mapInArrow(_fingerprints(buckets), "bucket long, chunk long, prints binary, counts binary").groupBy("bucket").applyInPandas(_frequencies, "bucket long, chunk long, prints binary, counts binary")
     told = found.select("chunk", F.lit(False).alias("kind"), "bucket", "prints", "counts").union(classes.select("chunk", F.lit(True), "at", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
     columns = sketches.select("chunk", "n", "p", "grams").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_columns(buckets, num, den), "gram long, node long, n long")
     band = F.floor(F.log("n") / F.log(F.lit(den / num) * (1 + 1e-9))).cast("long")
-    columns = cut(columns.withColumn("band", band))
+    columns = cut(columns.select("gram", "node", band.alias("band")))
     heads = columns.groupBy("gram", "band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k"))
     steps = heads.select("gram", (F.col("band") + 1).alias("band"), F.col("head").alias("below"))
     chains = columns.join(heads.where("k > 1"), ["gram", "band"]).select(F.col("node").alias("a"), F.col("head").alias("b")).union(heads.join(steps, ["gram", "band"]).select("head", "below"))
@@ -243,9 +245,9 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
     links = cut(cells.groupBy("pack", "i", "j").applyInPandas(_cell(num, den), "a long, b long, links long"))
     roots = components(links.where("a <> b").select("a", "b"))
     counts = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    known = classes.join(roots, "node", "left").join(counts, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = known.join(least, "root").select("key", "root", "component_id", "n_links")
+    known = classes.join(roots, "node", "left").join(counts, "node", "left").select("key", "doc_id", "hash", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("f")).select("root", F.col("f.doc_id").alias("component_id"), F.col("f.hash").alias("first_hash"))
+    named = known.join(least, "root").select("key", "root", "component_id", "first_hash", "n_links")
     return small.join(named, "key", "left")
 
 
@@ -269,18 +271,20 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_
     Texts without words are linked with nothing and stay, each row. Of rows that repeat both id and text,
     and of those that share the group's smallest id, one stays.
     """
-    rows = _joined(docs, width, num, den, id_col, text_col)
-    least = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("f"))
-    again = rows.where("root is not null").groupBy("doc_id", "hash").agg((F.count(F.lit(1)) > 1).alias("again"))
-    alone = rows.where("root is null").select("doc_id", "hash", F.lit(False).alias("again")).distinct()
-    chosen = least.select("f.doc_id", "f.hash")
-    chosen = chosen.join(again, chosen["doc_id"].eqNullSafe(again["doc_id"]) & (chosen["hash"] == again["hash"])).select(chosen["doc_id"], chosen["hash"], "again")
-    chosen = cut(chosen.union(alone)).select(F.col("doc_id").alias("keep_id"), F.col("hash").alias("keep_hash"), "again")
+    rows = _joined(docs, width, num, den, id_col, text_col).where("root is not null")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("hash") == F.col("first_hash"))
+    marked = cut(rows.groupBy("doc_id", "hash").agg(F.first(first).alias("first"), (F.count(F.lit(1)) > 1).alias("again")).where("not first or again"))
+    gone = marked.where("not first").select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
-    kept = whole.join(chosen, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))
-    if not chosen.where("again").isEmpty():
+    kept = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
+    again = marked.where("first").select(F.col("doc_id").alias("again_id"), F.col("hash").alias("again_hash"))
+    if not again.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("hash") == F.col("again_hash"))
         place = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("hash"))
-        kept = kept.withColumn("place", place).where("not again or place = 1")
+        one = kept.join(again, same, "left_semi").withColumn("place", place).where("place = 1").drop("place")
+        kept = kept.join(again, same, "left_anti").union(one)
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
