@@ -1,9 +1,9 @@
 """Secret scans: base patterns, and tokens that a character model of random strings explains best.
 
-Two first-order Markov models over characters are trained from labelled samples: random strings
-(digests of counted seeds in hex and base 64) and ordinary identifiers (words of WORD_DOCS different
-documents, those of least hash). A token is a secret when its log-likelihood ratio, whole and per character, is over
-the limits. All of it is DataFrame expressions; only character-pair counts reach the driver.
+First-order Markov models over characters are trained from labelled samples: random strings in hex
+and in base 64 (digests of counted seeds), and ordinary identifiers (words of WORD_DOCS different
+documents, those of least hash). Counts of pairs are smoothed by those of single characters. A token
+is a secret when its log-likelihood ratio, whole and per character, is over the limits for hex or base 64. All of it is DataFrame expressions; only character-pair counts reach the driver.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ RANDOM_STRINGS, WORD_DOCS = 2000, 500
 RATIO, RATIO_PER_CHAR = 20.0, 1.0
 #: Tokens are of characters + to z.
 FIRST, SIZE = 43, 80
+#: Weight of single characters' shares in a pair's, and of an even share in these.
+BACKOFF, EVEN = 20.0, 0.1
 MASK = "<SECRET>"
 _SPAN = "array<struct<s:int,e:int>>"
 _SPANS = "array<struct<s:int,i:int,e:int,k:string>>"
@@ -52,25 +54,38 @@ def find(text: Column, kind: str, order: int, pattern: str, group: int, least: i
     return F.when(F.regexp_like(text, F.lit(pattern)), found.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """Log-likelihood ratios, random over identifier, of each pair of following characters, SIZE * SIZE in all."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[list[float]]:
+    """For hex and base 64, the log-likelihood ratios over identifiers of each pair of following characters, SIZE * SIZE in all."""
     spark = docs.sparkSession
     seed = spark.range(RANDOM_STRINGS).select(F.sha2(F.concat(F.lit("random "), "id"), 256).alias("hex"))
-    random = seed.select(F.explode(F.array("hex", F.base64(F.unhex("hex")))).alias("token"), F.lit(1).alias("random"))
+    random = seed.select(F.posexplode(F.array("hex", F.base64(F.unhex("hex")))).alias("label", "token")).select("token", (F.col("label") + 1).alias("label"))
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
     last = rows.select("h").distinct().orderBy("h").limit(WORD_DOCS).agg(F.max("h")).first()[0]
     sample = rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text"))
-    words = sample.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z][A-Za-z_]{3,}"), F.lit(0))).alias("token"), F.lit(0).alias("random"))
-    pairs = random.union(words).select("token", "random", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at"))
-    rows = pairs.groupBy("random", F.ascii(F.substring("token", F.col("at"), F.lit(1))).alias("a"), F.ascii(F.substring("token", F.col("at") + 1, F.lit(1))).alias("b")).count().collect()
-    counts = [[[0.5] * SIZE for _ in range(SIZE)] for _ in range(2)]
+    words = sample.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z][A-Za-z_]{3,}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
+    pairs = random.union(words).select("token", "label", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at"))
+    rows = pairs.groupBy("label", F.ascii(F.substring("token", F.col("at"), F.lit(1))).alias("a"), F.ascii(F.substring("token", F.col("at") + 1, F.lit(1))).alias("b")).count().collect()
+    counts = [[[0.0] * SIZE for _ in range(SIZE)] for _ in range(3)]
     for r in rows:
-        counts[r["random"]][r["a"] - FIRST][r["b"] - FIRST] += r["count"]
-    return [math.log(x / sum(rand)) - math.log(y / sum(word)) for rand, word in zip(counts[1], counts[0], strict=True) for x, y in zip(rand, word, strict=True)]
+        counts[r["label"]][r["a"] - FIRST][r["b"] - FIRST] += r["count"]
+    word, *randoms = (_log_shares(c) for c in counts)
+    return [[x - y for x, y in zip(r, word, strict=True)] for r in randoms]
 
 
-def ratio(token: Column, weights: list[float]) -> Column:
-    """Sum of the log-likelihood ratios along a token."""
+def _log_shares(counts: list[list[float]]) -> list[float]:
+    """Logarithm of each following character's share, smoothed."""
+    single = [sum(column) for column in zip(*counts, strict=True)]
+    total = sum(single) or 1.0
+    base = [(1 - EVEN) * x / total + EVEN / SIZE for x in single]
+    return [math.log((x + BACKOFF * b) / (sum(row) + BACKOFF)) for row in counts for x, b in zip(row, base, strict=True)]
+
+
+def ratio(token: Column, weights: list[list[float]]) -> Column:
+    """Sum of the log-likelihood ratios along a token, the greater of hex and base 64."""
+    return F.greatest(*(_along(token, w) for w in weights))
+
+
+def _along(token: Column, weights: list[float]) -> Column:
     model = F.split(F.lit(",".join(f"{x:.4f}" for x in weights)), ",").cast("array<double>")
     code = lambda at: F.ascii(F.substring(token, at, F.lit(1))) - FIRST
     return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, at: acc + F.get(model, code(at) * SIZE + code(at + 1)))
