@@ -46,3 +46,14 @@ def mirrored(cam: Column) -> Column:
 
 def camera_group(cam: Column) -> Column:
     return F.least(cam, 11 - cam)
+
+
+def plain(line: Column) -> Column:
+    """A log line without terminal colours."""
+    return F.regexp_replace(line, r"\x1b\[[0-9;]*m", "")
+
+
+def log_fields(line: Column) -> Column:
+    """map of the key=value pairs of a log line."""
+    pairs = F.regexp_extract_all(plain(line), F.lit(r"(\w+=[^\s,]+)"), F.lit(1))
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.split(p, "=", 2)[0].alias("key"), F.split(p, "=", 2)[1].alias("value"))))

@@ -72,3 +72,16 @@ def plan(specs: DataFrame, groups: int, finished: DataFrame, priority: Column) -
     jobs = specs.withColumn("group_id", F.explode(F.sequence(F.lit(1), F.lit(groups))))
     done = finished.select("spec_key", "group_id").distinct().withColumn("done", F.lit(True))
     return jobs.join(done, ["spec_key", "group_id"], "left").withColumn("status", F.when(F.col("done"), "EXISTS").otherwise("TODO")).withColumn("priority", priority).drop("done")
+
+
+def three_tier(rows: DataFrame, group: list[str], tier: Column, key: str, n: int) -> DataFrame:
+    """Up to ``n`` rows of each group, lower tiers first (1 unused, 2 trimmed, 3 between strides; null: never), by md5 of the key within one."""
+    order = [F.col("tier"), F.md5(F.col(key).cast("string").cast("binary")), F.col(key)]
+    ranked = rows.withColumn("tier", tier).where("tier is not null")
+    return ranked.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rn") <= n).drop("rn")
+
+
+def paired_strips(means: DataFrame) -> DataFrame:
+    """cam_id, strip, gap between each camera of a pair and its mirror. ``means``: cam_id 1 to 10, strip 0 to 9, mean."""
+    other = means.select((11 - F.col("cam_id")).alias("cam_id"), (9 - F.col("strip")).alias("strip"), F.col("mean").alias("mirror"))
+    return means.where("cam_id <= 5").join(other, ["cam_id", "strip"]).select("cam_id", "strip", F.abs(F.col("mean") - F.col("mirror")).alias("gap"))

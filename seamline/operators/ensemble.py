@@ -53,3 +53,10 @@ def subsets(z: DataFrame, members: dict[str, list[str]], thresholds: list[float]
     best = z.select("image_id", "z", F.explode(F.try_element_at(lists, F.col("metric"))).alias("subset")).groupBy("subset", "image_id").agg(F.max("z").alias("z"))
     grid = best.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
     return grid.groupBy("subset", "threshold").agg(F.count(F.lit(1)).alias("n_images"), F.sum((F.col("z") > F.col("threshold")).cast("long")).alias("n_over"))
+
+
+def adaptive(scores: DataFrame, normal: DataFrame, threshold: float) -> DataFrame:
+    """scores with z by their method's own normal scores (method, score), and detected."""
+    stats = normal.groupBy("method").agg(F.avg("score").alias("mean"), F.greatest(F.stddev_pop("score"), F.lit(1e-6)).alias("std"))
+    z = (F.col("score") - F.col("mean")) / F.col("std")
+    return scores.join(stats, "method").withColumn("z", z).withColumn("detected", F.col("z") > threshold).drop("mean", "std")

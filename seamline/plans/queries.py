@@ -601,4 +601,56 @@ def raster_measures(spark, sf):
     return raster.measure(_images(spark, sf))
 
 
+@query("SELECT event_id FROM events WHERE value > 40 UNION ALL SELECT event_id FROM events WHERE event_type = 'error'")
+def set_concat(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.where("value > 40").select("event_id").unionByName(e.where("event_type = 'error'").select("event_id"))
+
+
+@query("SELECT event_id, value, event_type FROM events")
+def json_result_roundtrip(spark, sf):
+    lines = _t(spark, sf, "events").select(F.to_json(F.struct("event_id", "value", "event_type")).alias("line"))
+    return lines.select(F.from_json("line", "event_id long, value double, event_type string").alias("r")).select("r.*")
+
+
+@query("SELECT event_id, event_type AS kind, CAST(user_id AS INTEGER) AS cam FROM events")
+def log_parse(spark, sf):
+    line = F.concat(F.lit("\x1b[32mINFO\x1b[0m kind="), F.col("event_type"), F.lit(", \x1b[1mcam="), F.col("user_id"), F.lit("\x1b[0m"))
+    fields = names.log_fields(line)
+    return _t(spark, sf, "events").select("event_id", fields["kind"].alias("kind"), fields["cam"].cast("int").alias("cam"))
+
+
+@query(f"WITH {_EV} SELECT cam, count(*) FILTER (WHERE label AND score <= 20) AS missed, count(*) FILTER (WHERE NOT label AND score > 20) AS false_alarms FROM ev GROUP BY 1")
+def eval_overlap(spark, sf):
+    table = evaluate.sweep(labelled(spark, sf), [20.0], ["cam"])
+    return table.select("cam", F.col("fn").alias("missed"), F.col("fp").alias("false_alarms"))
+
+
+@query(f"WITH {_FACTS}, st AS (SELECT method, avg(score) AS mean, greatest(stddev_pop(score), 1e-6) AS std FROM fa WHERE level = 1 GROUP BY 1) SELECT fa.method, level, count(*) AS n, count(*) FILTER (WHERE (score - mean) / std > 1.001) AS n_detected FROM fa JOIN st USING (method) GROUP BY 1, 2")
+def ens_adaptive(spark, sf):
+    f = facts(spark, sf).drop("detected")
+    return ensemble.adaptive(f, f.where("level = 1"), 1.001).groupBy("method", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("n_detected"))
+
+
+@query(f"WITH {_EV}, m AS (SELECT cam, CAST(event_id % 7 + event_id % 4 AS INTEGER) AS strip, avg(score) AS mean FROM ev GROUP BY 1, 2) SELECT a.cam AS cam_id, a.strip, round(abs(a.mean - b.mean), 6) AS gap FROM m a JOIN m b ON a.cam <= 5 AND b.cam = 11 - a.cam AND b.strip = 9 - a.strip")
+def camera_pair_gaps(spark, sf):
+    strip = (F.col("event_id") % 7 + F.col("event_id") % 4).cast("int")
+    means = labelled(spark, sf).groupBy(F.col("cam").alias("cam_id"), strip.alias("strip")).agg(F.avg("score").alias("mean"))
+    return catalog.paired_strips(means).withColumn("gap", r6("gap"))
+
+
+@query(f"WITH {_SEQ}, t AS (SELECT user_id % 10 + 1 AS cam, event_id, CAST(CASE WHEN user_id % 10 = user_id % 7 THEN 1 WHEN rn <= 10 OR rn > n - 10 THEN 2 WHEN (rn - 11) % 3 <> 0 THEN 3 END AS INTEGER) AS tier FROM e) SELECT cam, event_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY cam ORDER BY tier, md5(CAST(event_id AS VARCHAR)), event_id) AS rk FROM t WHERE tier IS NOT NULL) WHERE rk <= 5")
+def split_three_tier(spark, sf):
+    rows = catalog.numbered(_t(spark, sf, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"]).withColumn("cam", F.col("user_id") % 10 + 1)
+    tier = F.when(F.col("user_id") % 10 == F.col("user_id") % 7, 1).when((F.col("rn") <= 10) | (F.col("rn") > F.col("n") - 10), 2).when(F.pmod(F.col("rn") - 11, F.lit(3)) != 0, 3)
+    return catalog.three_tier(rows, ["cam"], tier, "event_id", 5).select("cam", "event_id", "tier")
+
+
+@query(f"WITH {_TILES} SELECT vec_id AS id, round(v[1] + v[2], 6) AS p1, round(v[3] - 2 * v[4], 6) AS p2 FROM t")
+def vec_project(spark, sf):
+    columns = [[1.0, 1.0] + [0.0] * 62, [0.0, 0.0, 1.0, -2.0] + [0.0] * 60]
+    p = vectors.project(F.col("v"), columns)
+    return tiles_of(spark, sf).select("id", r6(p[0]).alias("p1"), r6(p[1]).alias("p2"))
+
+
 ENTRY = "image_most_anomalous"
