@@ -30,7 +30,7 @@ from .textblock import blocks
 #: Hundredths of a set that its sketch holds beyond the least that an exact filter needs.
 EXTRA = 10
 #: Rows of a block of the product, and shingle fingerprints that one task counts.
-ROWS, COUNTED = 512, 2_000_000
+ROWS, COUNTED = 512, 1_000_000
 #: Most dropped rows (an id and a hash each) that keep_one broadcasts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 

@@ -1,6 +1,6 @@
 """Vectorised views of a batch of texts: one UTF-8 buffer, word and line bounds, substring hashes.
 
-Everything works inside a task, on Arrow batches cut to about a megabyte; a text is never split.
+Everything works inside a task, on Arrow batches cut to about half a megabyte; a text is never split.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ class TextBlock:
         return np.diff(np.searchsorted(positions, self.starts))
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, TextBlock]]:
+def blocks(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int, TextBlock]]:
     """Cut a string column into TextBlocks of about most_bytes (one longer text stands alone); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
