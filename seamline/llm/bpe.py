@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words kept by a task; when there are more, it starts anew.
@@ -177,6 +177,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text
     special tokens. Repeated rows and ids are encoded each; ``keep`` may have any names but those
     added. Empty input gives an empty result. The ranks file goes to executors as a job file.
     """
+    bound_batches(docs)
     docs.sparkSession.sparkContext.addFile(ranks_path)
     name = ranks_path.rsplit("/", 1)[-1]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

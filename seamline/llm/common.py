@@ -26,6 +26,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a batch that Spark sends to Python. Counted by rows alone, as many as 10,000 long texts would make one.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Hold Arrow batches of the session to BATCH_BYTES (a longer row stands alone), unless the session has a value of its own."""
+    conf = df.sparkSession.conf
+    unset = "1b"  # a valid size that nobody sets
+    if conf.get(_BATCH_SETTING, unset) == unset:
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, so that extra columns can't clash."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bound_batches, cut, table
 from .rlbwt import RunIndex
 from .textblock import TextBlock, blocks
 
@@ -196,6 +196,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     so lose all of it if long enough; null ids are allowed. Whole-number ids; other columns play no
     part. Empty input gives an empty result.
     """
+    bound_batches(docs)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("key"), F.xxhash64("text").alias("hash"))
     long_enough = rows.where(F.octet_length("text") >= length).select("text", "key", "hash")

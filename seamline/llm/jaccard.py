@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import bound_batches, cut, table
 from .graph import components
 from .shingles import shingle_sets
 from .textblock import blocks
@@ -219,6 +219,7 @@ def _cell(num: int, den: int):
 
 def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each of ``docs``: doc_id, hash (of the text), n, key, root (null where the set is empty), component_id and first_hash (the row that stands for the group), n_links."""
+    bound_batches(docs)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
     sketches = cut(rows.mapInArrow(_sketches(width, num, den), _SKETCH_SQL))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 from .textblock import TextBlock, blocks, mix, repeated
 
 #: Frequent function words of each language with a reference.
@@ -141,6 +141,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     Only these few sums, as many as COMMON_WORDS has languages, reach the driver.
     """
+    bound_batches(docs)
     parts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(_reference, "lang long, kind string, total array<long>")
     rows = parts.select("lang", "kind", F.posexplode("total").alias("bin", "x")).groupBy("lang", "kind", "bin").agg(F.sum("x").alias("x")).collect()
     out = {"chars": np.zeros((len(COMMON_WORDS) + 1, CLASSES)), "words": np.zeros((len(COMMON_WORDS) + 1, len(_WORDS) + 1))}
