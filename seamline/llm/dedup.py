@@ -4,7 +4,7 @@ Every window of ``length`` bytes has an anchor: the leftmost of the least hashed
 strings in it. Equal windows have equal anchors at equal places, so windows can only match where
 anchors do. Windows of one text with one anchor form a segment; segments whose anchor occurs once in
 the corpus are dropped, equal ones are counted and kept once, and the rest go to run-length indexes,
-whole anchors together and texts' overlapping segments merged, where matching statistics find the
+whole anchors together and a text's overlapping segments merged, where matching statistics find the
 windows that start elsewhere as well. Of an anchor with more text than an index takes, every window
 is compared by digest instead, spread over the cluster. Covered bytes are then cut from the texts.
 """
@@ -117,6 +117,22 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
+def _joined(group: pd.DataFrame) -> tuple[list[bytes], list[int]]:
+    """Texts of one index, and where each row's piece begins in it: parts' pieces of one text that overlap become one, so that no byte enters twice."""
+    pieces, offsets, own, start, end, base = [], np.zeros(len(group), np.int64), None, 0, 0, 0
+    order = np.lexsort((group["start"], group["hash"], group["doc_id"]))
+    for k, doc_id, name, at, piece in zip(order, *(group[c].to_numpy()[order] for c in ("doc_id", "hash", "start", "piece")), strict=True):
+        if own != (doc_id, name) or at >= end:
+            base += len(pieces[-1]) + 1 if pieces else 0
+            own, start, end = (doc_id, name), at, at + len(piece)
+            pieces.append(piece)
+        elif at + len(piece) > end:
+            pieces[-1] += piece[end - at :]
+            end = at + len(piece)
+        offsets[k] = base + at - start
+    return pieces, offsets.tolist()
+
+
 def _search(length: int, most: int):
     """Repeated windows of each segment in a pack, by the indexes of its parts."""
 
@@ -126,15 +142,14 @@ def _search(length: int, most: int):
         size = pdf["piece"].map(len).groupby(pdf["part"]).sum()
         batch = (size.cumsum() // most).rename("batch")
         for _, group in pdf.join(batch, on="part").groupby("batch"):
-            index = RunIndex(group["piece"].tolist(), length)
+            pieces, offsets = _joined(group)
+            index = RunIndex(pieces, length)
             repeats = index.longest_elsewhere() >= length
-            offset = 0
-            for piece, anchors, names, starts, windows, copies in zip(group["piece"], group["anchors"], group["segments"], group["starts"], group["windows"], group["copies"], strict=True):
+            for offset, anchors, names, starts, windows, copies in zip(offsets, group["anchors"], group["segments"], group["starts"], group["windows"], group["copies"], strict=True):
                 for a, s, start, w, c in zip(anchors, names, starts, windows, copies, strict=True):
                     first, last = _runs(repeats[offset + start : offset + start + w] if c == 1 else np.ones(w, bool))
                     if first:
                         out.append((a, s, first, last))
-                offset += len(piece) + 1
         return pd.DataFrame(out, columns=["anchor", "segment", "first", "last"])
 
     return search

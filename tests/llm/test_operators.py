@@ -32,6 +32,16 @@ def test_repeats_of_an_anchor_beyond_an_index(spark):
     same([(r.doc_id, r.n_removed, r.kept_sha256) for r in got], [(d[0], w[1], w[3]) for d, w in zip(data.rows(), want, strict=True)])
 
 
+def test_repeats_of_homes_that_alternate_in_a_text(spark):
+    rng = random.Random(3)
+    parts = ["".join(rng.choices("abcdefgh ", k=30)) for _ in range(40)]
+    rows = [(i, "".join(rng.choices(parts, k=8)), "en", "s") for i in range(40)]
+    got = dedup.remove_repeats(data.frame(spark, rows), length=40, anchor=20).collect()
+    want = brute.removed_bytes([r[1] for r in rows], 40)
+    assert 0 < sum(w[1] for w in want) < sum(w[0] for w in want)
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], [(d[0], *w) for d, w in zip(rows, want, strict=True)])
+
+
 def test_rule_counts(spark):
     got = quality.measure(data.frame(spark), ["doc_id", "hash"]).collect()
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got], [(d[0], *brute.rule_counts(d[1])) for d in data.rows()])
