@@ -15,17 +15,25 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, table
 
 #: Courtesy titles by the gender that they tell.
-TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "Sra", "Г-жа"], "x": ["Dr", "Prof"]}
-_ALL_TITLES = "|".join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True))
-#: Patterns by kind, in the order in which they are tried at a place.
+TITLES = {
+    "m": ["Mr", "Herr", "Señor", "Sr", "Г-н", "M", "Monsieur", "κ", "Κ", "κος", "Κος", "κύριος", "Κύριος", "κύριο", "Κύριο", "κύριε", "Κύριε", "κυρίου", "Κυρίου"],
+    "f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "Sra", "Г-жа", "Madame", "Mademoiselle", "Mlle", "κα", "Κα", "κυρία", "Κυρία", "κυρίας", "Κυρίας"],
+    "x": ["Dr", "Prof"],
+}
+#: Titles of one letter need their full stop.
+_ALL_TITLES = "|".join(f"{t}\\.?" if len(t) > 1 else f"{t}\\." for t in sorted((t for x in TITLES.values() for t in x), key=len, reverse=True))
+_FIRST = "".join(sorted({t[0] for x in TITLES.values() for t in x}))
+#: Patterns by kind, in the order in which they are tried at a place; a look at the first character saves time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)",
-    "name": rf"(?<!\p{{L}})(?:{_ALL_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "iban": r"(?=[A-Z])(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "card": r"(?=\d)(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)",
+    "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)",
+    "phone in pairs": r"(?=[+0])(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d|0\d)(?:[ .-]\d{2}){4}(?!\w)",
+    "phone with slash": r"(?=[+(0])(?<![\w+/])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{2,4}|\(?0\d{2,4}\)?) ?/ ?\d{3,4}[ .-]?\d{2,4}(?![\w/])",
+    "name": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_ALL_TITLES}) \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ANY = "|".join(PATTERNS.values())
 #: Letters that names are made of, by script: consonants, vowels, and the ending of women's given names.
@@ -48,7 +56,7 @@ def kind_of(match: Column) -> Column:
     """Kind of a match of ANY."""
     digits = F.length(F.regexp_replace(match, r"\D", ""))
     return (
-        F.when(F.contains(match, F.lit("@")), "email").when(match.rlike(r"^\d+(\.\d+){3}$"), "ip").when(match.rlike(r"^[A-Z]{2}\d{2}"), "iban").when(match.rlike(r"^\p{L}"), "name").when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when((digits >= 13) & match.rlike(r"^\d"), "card").otherwise("phone")
+        F.when(F.contains(match, F.lit("@")), "email").when(match.rlike(r"^\d+(\.\d+){3}$"), "ip").when(match.rlike(r"^[A-Z]{2}\d{2}"), "iban").when(match.rlike(r"^\p{L}"), "name").when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when((digits >= 13) & match.rlike(r"^\d") & ~F.contains(match, F.lit("/")), "card").otherwise("phone")
     )
 
 
@@ -72,6 +80,22 @@ def atoms(match: Column) -> Column:
     return F.when(kind == "name", F.when(F.size(words) > 2, F.array(first, last)).otherwise(F.array(last))).otherwise(F.array(atom(kind, canon)))
 
 
+def _untitled(names: Column) -> Column:
+    """Pattern of ANY and of the titled ``names`` said without their titles: in full or by family name."""
+    bare = F.transform(names, lambda x: F.regexp_replace(x, r"^\S+ ", ""))
+    said = F.array_distinct(F.concat(bare, F.transform(bare, lambda x: F.element_at(F.split(x, " "), -1))))
+    longest = F.transform(F.sort_array(F.transform(said, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
+    own = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_'-])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}_]|-\p{L})"))
+    return F.when(F.size(names) > 0, own).otherwise(F.lit(ANY))
+
+
+def _titled(match: Column, names: Column) -> Column:
+    """struct<match, bare>: an untitled name with the title that it has elsewhere in ``names``."""
+    bare = (kind_of(match) == "name") & ~match.rlike(rf"^(?:{_ALL_TITLES}) ")
+    title = F.regexp_extract(F.get(F.filter(names, lambda x: x.endswith(F.concat(F.lit(" "), match))), F.lit(0)), r"^(\S+ )", 1)
+    return F.struct(F.when(bare, F.concat(title, match)).otherwise(match).alias("match"), bare.alias("bare"))
+
+
 def _letters(canon: Column, digest: Column, skip: int = 0) -> Column:
     """Each letter and digit after the first ``skip`` characters replaced by one of its class."""
 
@@ -164,23 +188,27 @@ def surrogates(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataF
     """``docs`` with personal data replaced in the text column, and n_entities (int).
 
     Null texts stay null with 0 entities, empty ones empty. The same entity gets the same surrogate
-    in every row and format; repeated rows stay alike. Other columns stay; one named n_entities is
+    in every row and format, names with titles also where the same text says them without; repeated
+    rows stay alike. Other columns stay; one named n_entities is
     replaced. Empty input gives an empty result. ``key`` fixes the surrogates for a given corpus.
     """
     docs = docs.drop("n_entities")
-    row, found, new = fresh(docs, "_row"), fresh(docs, "_found"), fresh(docs, "_new")
+    row, found, new, names_of = fresh(docs, "_row"), fresh(docs, "_found"), fresh(docs, "_new"), fresh(docs, "_names")
     text = F.col(f"`{text_col}`")
     has = F.coalesce(F.regexp_like(text, F.lit(ANY)), F.lit(False))
-    hit = docs.where(has).select("*", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias(found))
-    entries = hit.select(F.explode(F.array_distinct(found)).alias("match"))
+    any_of = _untitled(F.col(names_of))
+    hit = docs.where(has).select("*", F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))).alias(names_of))
+    hit = hit.withColumn(found, F.transform(F.regexp_extract_all(text, any_of, F.lit(0)), lambda x: _titled(x, F.col(names_of))))
+    entries = hit.select(F.explode(F.array_distinct(F.transform(found, lambda x: x["match"]))).alias("match"))
     known = entries.distinct()
     each = cut(known.select("match", F.posexplode(atoms(F.col("match"))).alias("at", "a")).select("match", "at", "a.kind", "a.canon"))
     subs = assign(each, key)
     table_of = each.join(subs, ["kind", "canon"]).groupBy("match").agg(F.sort_array(F.collect_list(F.struct("at", "sub"))).alias("s")).select("match", rendered(F.col("match"), F.col("s.sub")).alias("new"))
     keyed = hit.withColumn(row, F.struct(F.xxhash64(text), F.sha2(text, 256)))
     texts = keyed.select(row, found).dropDuplicates([row])
-    words = texts.select(row, F.posexplode(found).alias("at", "match")).join(table_of, "match").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias(new))
-    between = F.split(text, ANY, -1)
+    said = texts.select(row, F.posexplode(found).alias("at", "x")).select(row, "at", "x.match", "x.bare").join(table_of, "match").withColumn("new", F.when(F.col("bare"), F.regexp_replace("new", r"^\S+ ", "")).otherwise(F.col("new")))
+    words = said.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias(new))
+    between = F.split(text, any_of, -1)
     built = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(f"{new}.new"), i), F.lit("")))), "")
     changed = keyed.join(words, row).withColumn("n_entities", F.size(found)).withColumn(text_col, built)
     names = [*[F.col(f"`{c}`") for c in docs.columns], F.col("n_entities")]

@@ -180,6 +180,23 @@ def test_surrogates(spark):
     assert again == {r.doc_id: r.text for r in got}
 
 
+def test_surrogates_of_phone_forms_titles_and_untitled_names(spark):
+    phones = ["01 23 45 67 89", "+33 1 23 45 67 89", "01.23.45.67.89", "0171/1234567", "+49 171/123 4567"]
+    rows = [(i, f"call {x} now", "fr", "s") for i, x in enumerate(phones)]
+    rows += [(10, "M. Dupont, Madame Claire Martin, Κύριος Παππάς; κ. Νίκος Παππάς. Size M Large", "fr", "s"), (11, "Smith wrote. Mr John Smith met Mrs Ann Lee-Smith. John Smith, Smith's and Smithson; Lee-Smith left.", "en", "s"), (12, "Smith without a title, 05/12/2024 and 1/2", "en", "s")]
+    by = {r.doc_id: r for r in pii.surrogates(data.frame(spark, rows)).collect()}
+    for i, x in enumerate(phones):
+        new = by[i].text[5:-4]
+        assert by[i].n_entities == 1 and new != x and [c for c in new if not c.isdigit()] == [c for c in x if not c.isdigit()] and len(new) == len(x)
+    named, said = by[10].text, by[11].text
+    assert by[10].n_entities == 4 and named.endswith("Size M Large") and not any(x in named for x in ("Dupont", "Claire", "Martin", "Παππάς", "Νίκος"))
+    assert named.startswith("M. ") and "Madame " in named and named.split("; ")[0].split()[-1] == named.split(". Size")[0].split()[-1]
+    family, given = said.split()[0], said.split()[3]
+    assert by[11].n_entities == 6 and said.startswith(f"{family} wrote. Mr {given} {family} met Mrs ") and f". {given} {family}, {family}'s and Smithson; " in said
+    assert "Smith" not in said.replace("Smithson", "") and said.split("; ")[1].split()[0] == said.split(". ")[1].split()[-1]
+    assert by[12].text == rows[-1][1] and by[12].n_entities == 0
+
+
 def test_empty_tables(spark):
     import public_tokenizers as P
 
