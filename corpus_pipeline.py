@@ -1,48 +1,82 @@
 """From raw documents to token ids: quality, near duplicates, secrets, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's ``docs``.
+read again as the next stage's ``docs``. ``docs`` has doc_id, text, lang and source; any further columns,
+also ones named like a stage's own (kept, base, found, masked, mix_slot, ...), come out unchanged, but for n_chars
+where a text changes. Null ids, languages and sources are values of their own; what becomes of null and empty texts,
+copies and repeated rows is said at each stage. An empty table goes through as one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm import bpe, jaccard, mixing, quality, secrets
 from seamline.llm.common import cut, table
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ..., so that none is named like what a stage adds, and these names by the first ones."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
+def _named(rows: DataFrame, at: dict[str, str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``docs`` by their first names again, those in ``new`` replaced."""
+    return rows.select(*[(new or {}).get(name, F.col(c)).alias(name) for name, c in at.items()])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only documents that the quality rules keep."""
-    return quality.measure(docs, docs.columns).where("kept").select(*docs.columns)
+    """Only documents that the quality rules keep. Null, empty and short texts go; repeated rows are judged each."""
+    rows, at = _numbered(docs)
+    return _named(quality.measure(rows, rows.columns, at["text"], at["lang"]).where("kept"), at)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    return jaccard.keep_one(docs, width=5, num=80, den=100)
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more.
+
+    Texts without words (null, empty) are linked with nothing and stay; of repeated rows one stays.
+    """
+    rows, at = _numbered(docs)
+    return _named(jaccard.keep_one(rows, 5, 80, 100, at["doc_id"], at["text"]), at)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets masked, and n_chars set anew where a text changed."""
-    found = secrets.scan(docs)
+    """Documents with their secrets masked, and n_chars set anew where a text changed. Null and empty texts have none and stay."""
+    rows, at = _numbered(docs)
+    found = secrets.scan(rows, at["doc_id"], at["text"])
     hit = F.size("found") > 0
-    text = F.when(hit, secrets.redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    n_chars = F.when(hit, F.char_length("masked")).otherwise(F.col("n_chars"))
-    out = found.withColumn("masked", text)
-    return out.select(*[F.col("masked").alias("text") if c == "text" else n_chars.cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    text = F.col(at["text"])
+    out = found.withColumn("masked", F.when(hit, secrets.redact(text, F.col("found"))).otherwise(text))
+    new = {"text": F.col("masked")}
+    if "n_chars" in at:
+        new["n_chars"] = F.when(hit, F.char_length("masked")).otherwise(F.col(at["n_chars"])).cast(docs.schema["n_chars"].dataType)
+    return _named(out, at, new)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in mixed order: written files, and the rows in them, follow the mix."""
-    return mixing.mix(docs, mixing.TARGET_WEIGHTS, mixing.REST_WEIGHT).orderBy("mix_position").select(*docs.columns)
+    """All documents in mixed order: written files, and the rows in them, follow the mix. Null sources are mixed with those without a weight."""
+    rows, at = _numbered(docs)
+    return _named(_mixed(rows, at).orderBy("mix_position"), at)
+
+
+def _mixed(rows: DataFrame, at: dict[str, str]) -> DataFrame:
+    return mixing.mix(rows, mixing.TARGET_WEIGHTS, mixing.REST_WEIGHT, id_col=at["doc_id"], source_col=at["source"])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, in the order of ``docs``, with digests of ids and of what they decode to."""
+    """doc_id, source, mix_position, n_tokens, ids and digests of ids and of what they decode to, a row a document.
+
+    A table has no order of its own: mix_position is the mix's place, which the schedule gives again.
+    Null and empty texts have no ids; repeated rows are encoded each.
+    """
     import public_tokenizers
 
-    return bpe.encode(docs, str(public_tokenizers.path(bpe.RANKS)), public_tokenizers.PATTERN, ["doc_id", "source"])
+    rows, at = _numbered(docs)
+    chars = rows.agg(F.sum(F.length(at["text"]))).first()[0] or 0
+    mixed = _mixed(rows, at).select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), "mix_position", F.col(at["text"]).alias("text"))
+    return bpe.encode(mixed, str(public_tokenizers.path(bpe.RANKS)), public_tokenizers.PATTERN, ["doc_id", "source", "mix_position"], chars=chars)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("source_mix", source_mix), ("encoding", encoding)]

@@ -200,7 +200,7 @@ def unpack_words(data: bytes) -> list[bytes]:
     data = zstandard.decompress(data)
     n = int.from_bytes(data[:4], "little")
     ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)).tolist()
-    return [data[a:b] for a, b in zip([4 * (n + 1), *ends[:-1]], ends, strict=True)]
+    return [data[a:b] for a, b in zip([4 * (n + 1), *ends][:-1], ends, strict=True)]
 
 
 def pack_ids(ids: list[bytes]) -> bytes:
@@ -310,7 +310,7 @@ def _told(left: pa.Table, right: pa.Table) -> pa.Table:
     for words, data in zip(right.column("words"), right.column("ids"), strict=True):
         n, flat = unpack_ids(data.as_py())
         ends, flat = (np.cumsum(n) * 4).tolist(), flat.tobytes()
-        ids.update(zip(unpack_words(words.as_py()), (flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        ids.update(zip(unpack_words(words.as_py()), (flat[a:b] for a, b in zip([0, *ends][:-1], ends, strict=True)), strict=True))
     out = [pack_ids([ids[w] for w in unpack_words(x.as_py())]) for x in left.column("words")]
     return pa.table({"chunk": left.column("chunk"), "bucket": left.column("bucket"), "ids": pa.array(out, pa.binary())})
 

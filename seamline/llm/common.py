@@ -2,37 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seamline.plans.lineage import cut  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; the path may be in any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder in ``spark.checkpoint.dir``, which executors share.
-
-    Only where that setting is absent (tests on one machine) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 #: Bytes of a batch that Spark sends to Python. Counted by rows alone, as many as 10,000 long texts would make one.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(df: DataFrame) -> None:
-    """Hold Arrow batches of the session to BATCH_BYTES (a longer row stands alone), unless the session has a value of its own."""
+    """Hold Arrow batches of the session to BATCH_BYTES (a longer row stands alone), unless the session has a value of its own.
+
+    The setting stays, for later jobs of the session too: a lazy plan reads it when it runs.
+    """
     conf = df.sparkSession.conf
     unset = "1b"  # a valid size that nobody sets
     if conf.get(_BATCH_SETTING, unset) == unset:
@@ -59,14 +50,14 @@ def dense_positions(df: DataFrame, group: str, tie: list[str], rows: int, bucket
     No group meets in one task: rows are ordered within hash buckets of about
     ``bucket_rows`` rows, and a bucket starts where the counts of the buckets before it end.
     ``rows`` is the row count, from which the number of buckets follows. Equal rows are
-    interchangeable, so that their order may differ between runs.
+    interchangeable, so that their order may differ between runs. ``group`` has no nulls, so that counts
+    join by the partitioning that the numbering has.
     """
     buckets = max(1, -(-rows // bucket_rows))
     df = df.withColumn("_h", F.xxhash64(*tie)).withColumn("_b", bucket_of(F.col("_h"), buckets))
     counts = df.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(group).alias("_g"), F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    offsets = counts.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(group, "_b").orderBy("_h", *tie)
     numbered = df.withColumn("_r", F.row_number().over(inside).cast("long") - 1)
-    joined = numbered.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_ob")))
-    return joined.withColumn(out, F.col("_first") + F.col("_r")).drop("_h", "_b", "_g", "_ob", "_first", "_r")
+    return numbered.join(offsets, [group, "_b"]).withColumn(out, F.col("_first") + F.col("_r")).drop("_h", "_b", "_first", "_r")

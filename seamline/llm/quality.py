@@ -1,7 +1,7 @@
 """Quality rules: word and repetition counts, then divergence from language references.
 
 A language's reference is the mean character-class histogram and the mean common-word histogram of
-all its documents. A document is rejected when the Jensen-Shannon distance (base 2, 0 to 1) of
+all its documents that pass the base rules, so that junk that these reject doesn't move it. A document is rejected when the Jensen-Shannon distance (base 2, 0 to 1) of
 either of its own histograms is over the limit; shorter documents than the guards are not judged.
 A histogram of few words is noisy, so the words' limit is raised by NOISE over the root of their number.
 """
@@ -113,6 +113,11 @@ def rule_counts(block: TextBlock, first: np.ndarray, last: np.ndarray, doc: np.n
     return out
 
 
+def base_failed(counts):
+    """Whether the base rules reject a text; ``counts``: arrays or columns by name."""
+    return (counts["n_words"] < LEAST) | (100 * counts["n_repeat_words"] > REPEAT_PERCENT * counts["n_words"])
+
+
 def _langs(column: pa.Array) -> np.ndarray:
     known = {x: i for i, x in enumerate(COMMON_WORDS)}
     return np.array([known.get(x, len(known)) for x in column.to_pylist()], np.int64)
@@ -125,8 +130,9 @@ def _reference(batches):
         for i, j, block in blocks(batch.column(0)):
             first, last, doc = block.words()
             chars, words = histograms(block, first, last, doc)
+            passed = ~base_failed(rule_counts(block, first, last, doc))
             for lang in np.unique(langs[i:j]):
-                own = langs[i:j] == lang
+                own = (langs[i:j] == lang) & passed
                 c = own & (chars.sum(axis=1) >= LEAST_CHARS)
                 w = own & (words.sum(axis=1) >= LEAST_WORDS)
                 total = lambda x: np.rint(shares(x) * SCALE).astype(np.int64).sum(axis=0).tolist()
@@ -137,7 +143,7 @@ _PART = pa.schema([("lang", pa.int64()), ("kind", pa.string()), ("total", pa.lis
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Reference histograms over all ``docs``: (languages + 1) by bins; the last row is for other languages.
+    """Reference histograms over all ``docs`` that pass the base rules: (languages + 1) by bins; the last row is for other languages.
 
     Only these few sums, as many as COMMON_WORDS has languages, reach the driver.
     """
@@ -176,14 +182,15 @@ def measure(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col:
 
     Null and empty texts have no words, so base_failed. Null and unknown languages are pooled: their
     characters are judged against the pool, their words are not. Repeated rows are judged each.
-    Columns of ``keep`` may have any names but those added. Empty input gives an empty result.
+    Columns of ``keep`` may have any names but those added. Empty input gives an empty result. The
+    references are fitted by a job of its own when this is called.
     """
     ref = references(docs, text_col, lang_col)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), *(f"{c} {'double' if c.endswith('distance') else 'long'}" for c in MEASURES)])
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     out = rows.mapInArrow(_judge(ref), schema)
-    failed = (F.col("n_words") < LEAST) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    failed = base_failed({c: F.col(c) for c in MEASURES})
     verdict = (F.col("char_distance") <= CHAR_LIMIT) & (F.col("word_distance") <= WORD_LIMIT + NOISE / F.sqrt("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, "base_failed", "kept")

@@ -1,9 +1,12 @@
 """Secret scans: base patterns, and tokens that a character model of random strings explains best.
 
 First-order Markov models over characters are trained from labelled samples: random strings in hex
-and in base 64 (digests of counted seeds), and ordinary identifiers (words of WORD_DOCS different
-documents, those of least hash). Counts of pairs are smoothed by those of single characters. A token
-is a secret when its log-likelihood ratio, whole and per character, is over the limits for hex or base 64. All of it is DataFrame expressions; only character-pair counts reach the driver.
+and in base 64 (digests of counted seeds), and ordinary identifiers: words of WORD_DOCS different
+documents (those of least hash) and ORDINARY_WORDS, as they stand in paths, dated and numbered names;
+in capitals; and in camel case. Counts of pairs are smoothed by those of single characters. A token is a
+secret when the best of the random models is over the best of the ordinary ones by both limits, for the
+whole token and per character. UUIDs are identifiers by their form and are left out of tokens. All of it is
+DataFrame expressions; only character-pair counts reach the driver.
 """
 
 from __future__ import annotations
@@ -27,10 +30,24 @@ MARKOV = "markov"
 #: Tokens that the models judge.
 TOKEN, LEAST_TOKEN = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: Bounds of the labelled samples: random strings, and documents whose words are identifiers.
-RANDOM_STRINGS, WORD_DOCS = 2000, 500
-RATIO, RATIO_PER_CHAR = 20.0, 1.0
+RANDOM_STRINGS, WORD_DOCS = 2000, 150
+RATIO, RATIO_PER_CHAR = 20.0, 0.75
+#: Labelled sample of ordinary words, besides those of documents; each counts so many times.
+ORDINARY_WORDS = (
+    "access account action admin agent alpha android app archive array asset async audio auth backup base batch beta bin block body branch bucket buffer build button cache call channel chart check class client cloud cluster code column command commit common component config connection "
+    "console content context control controller core count country create current data database date debug default delete demo deploy detail device dist docs document domain download drive driver editor element email engine entry error event example export factory feature field file filter "
+    "final first flag folder font form format frame function gateway global graph group handler header health helper history home host html http image import index info init input install instance integer internal item java job json kernel key label language layer layout level library "
+    "license limit line link linux list loader local log login machine main manager map master media memory menu message meta method metric model module monitor name network node note number object offset option order output package page panel parent parser password path pattern picture "
+    "player plugin policy pool port post prefix preview price process product profile program project property protocol provider proxy public python query queue random range reader record region registry release remote report request resource response result return root route rule runtime "
+    "sample schema scope screen script search section security select server service session setting shared size source stage start state static status storage store stream string style submit summary support switch system table target task template test text theme thread time timeout title "
+    "token tool topic total tracker train transfer tree type unit update upload upper user util valid value vendor version video view virtual volume wallet warning watch web widget window worker workspace wrapper write"
+).split()
+ORDINARY_WEIGHT = 40
+UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 #: Tokens are of characters + to z.
 FIRST, SIZE = 43, 80
+#: How many models of ordinary identifiers come first.
+ORDINARY = 3
 #: Weight of single characters' shares in a pair's, and of an even share in these.
 BACKOFF, EVEN = 20.0, 0.1
 MASK = "<SECRET>"
@@ -54,22 +71,34 @@ def find(text: Column, kind: str, order: int, pattern: str, group: int, least: i
     return F.when(F.regexp_like(text, F.lit(pattern)), found.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
 
+def _as_identifiers(word: Column, h: Column) -> Column:
+    """array<struct<label, token>>: a word as it stands in paths, dated and numbered names (0), capitals (1) and camel case (2)."""
+    low, up, title = F.lower(word), F.upper(word), F.initcap(F.lower(word))
+    pick = lambda n, shift, width: F.lpad(F.pmod(F.shiftright(h, shift), F.lit(n)).cast("string"), width, "0")
+    year, month, day = F.concat(F.lit("20"), pick(40, 3, 2)), F.lpad((F.pmod(F.shiftright(h, 9), F.lit(12)) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(F.shiftright(h, 15), F.lit(28)) + 1).cast("string"), 2, "0")
+    plain = [F.concat(F.lit("/"), low, F.lit("/")), F.concat(F.lit("_"), low, F.lit("_")), F.concat(F.lit("-"), low, F.lit("-")), F.concat(F.lit("/"), title, F.lit("-")), F.concat_ws("-", low, year, month, day, low), F.concat_ws("/", low, year, month, day, low), F.concat_ws("_", low, F.concat(year, month, day), pick(1000000, 21, 6)), F.concat(low, pick(100, 5, 1), F.lit("/v"), pick(10, 7, 1), F.lit("/")), F.concat(F.lit("-"), pick(10000, 11, 1), F.lit("_"), low, pick(1000, 17, 1), F.lit("="))]
+    capital = [F.concat(F.lit("_"), up, F.lit("_")), F.concat(up, pick(100, 5, 1), F.lit("-")), F.concat_ws("_", up, year, month)]
+    camel = [F.concat(low, title, title), F.concat(title, pick(100, 5, 1), title), F.concat(F.lit("_"), low, title, F.lit("/"), title)]
+    return F.array(*[F.struct(F.lit(k).alias("label"), x.alias("token")) for k, kind in enumerate((plain, capital, camel)) for x in kind])
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[list[float]]:
-    """For hex and base 64, the log-likelihood ratios over identifiers of each pair of following characters, SIZE * SIZE in all."""
+    """Logarithms of each following character's share, SIZE * SIZE a model: ORDINARY of ordinary identifiers, then hex and base 64."""
     spark = docs.sparkSession
     seed = spark.range(RANDOM_STRINGS).select(F.sha2(F.concat(F.lit("random "), "id"), 256).alias("hex"))
-    random = seed.select(F.posexplode(F.array("hex", F.base64(F.unhex("hex")))).alias("label", "token")).select("token", (F.col("label") + 1).alias("label"))
+    random = seed.select(F.posexplode(F.array("hex", F.base64(F.unhex("hex")))).alias("label", "token")).select((F.col("label") + ORDINARY).alias("label"), "token", F.lit(1).cast("long").alias("n"))
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
     last = rows.select("h").distinct().orderBy("h").limit(WORD_DOCS).agg(F.max("h")).first()[0]
     sample = rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text"))
-    words = sample.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z][A-Za-z_]{3,}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
-    pairs = random.union(words).select("token", "label", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at"))
-    rows = pairs.groupBy("label", F.ascii(F.substring("token", F.col("at"), F.lit(1))).alias("a"), F.ascii(F.substring("token", F.col("at") + 1, F.lit(1))).alias("b")).count().collect()
-    counts = [[[0.0] * SIZE for _ in range(SIZE)] for _ in range(3)]
+    said = sample.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]{4,}"), F.lit(0))).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    words = said.union(spark.range(1).select(F.explode(F.split(F.lit(" ".join(ORDINARY_WORDS)), " ")), F.lit(ORDINARY_WEIGHT).cast("long")))
+    ordinary = words.select(F.explode(_as_identifiers(F.col("word"), F.xxhash64("word"))).alias("x"), "n").select("x.label", "x.token", "n")
+    pairs = random.union(ordinary).select("token", "label", "n", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at"))
+    rows = pairs.groupBy("label", F.ascii(F.substring("token", F.col("at"), F.lit(1))).alias("a"), F.ascii(F.substring("token", F.col("at") + 1, F.lit(1))).alias("b")).agg(F.sum("n").alias("n")).collect()
+    counts = [[[0.0] * SIZE for _ in range(SIZE)] for _ in range(ORDINARY + 2)]
     for r in rows:
-        counts[r["label"]][r["a"] - FIRST][r["b"] - FIRST] += r["count"]
-    word, *randoms = (_log_shares(c) for c in counts)
-    return [[x - y for x, y in zip(r, word, strict=True)] for r in randoms]
+        counts[r["label"]][r["a"] - FIRST][r["b"] - FIRST] += r["n"]
+    return [_log_shares(c) for c in counts]
 
 
 def _log_shares(counts: list[list[float]]) -> list[float]:
@@ -80,12 +109,14 @@ def _log_shares(counts: list[list[float]]) -> list[float]:
     return [math.log((x + BACKOFF * b) / (sum(row) + BACKOFF)) for row in counts for x, b in zip(row, base, strict=True)]
 
 
-def ratio(token: Column, weights: list[list[float]]) -> Column:
-    """Sum of the log-likelihood ratios along a token, the greater of hex and base 64."""
-    return F.greatest(*(_along(token, w) for w in weights))
+def ratio(token: Column, models: list[list[float]]) -> Column:
+    """Log-likelihood of the best random model over the best ordinary one, along a token."""
+    best = lambda some: F.greatest(*(_along(token, w) for w in some))
+    return best(models[ORDINARY:]) - best(models[:ORDINARY])
 
 
 def _along(token: Column, weights: list[float]) -> Column:
+    """Sum of a model's logarithms over the pairs of a token."""
     model = F.split(F.lit(",".join(f"{x:.4f}" for x in weights)), ",").cast("array<double>")
     code = lambda at: F.ascii(F.substring(token, at, F.lit(1))) - FIRST
     return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, at: acc + F.get(model, code(at) * SIZE + code(at + 1)))
@@ -98,16 +129,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows are scanned each; a column named like an added one is replaced; an empty table trains on
     no identifiers and gives an empty result.
     """
-    weights = train(docs, id_col, text_col)
+    models = train(docs, id_col, text_col)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = F.array_sort(F.concat(*(find(text, k, i, *rule) for i, (k, rule) in enumerate(KINDS.items()))))
     judged = find(text, MARKOV, len(KINDS), TOKEN, 0, LEAST_TOKEN)
 
     def random(x: Column) -> Column:
-        token = F.substring(text, x["s"] + 1, x["e"] - x["s"])
+        token = F.regexp_replace(F.substring(text, x["s"] + 1, x["e"] - x["s"]), UUID, "")
         apart = ~F.exists(F.col("base"), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-        score = ratio(token, weights)
-        return apart & (score >= RATIO) & (score >= RATIO_PER_CHAR * (x["e"] - x["s"]))
+        score = ratio(token, models)
+        return apart & (F.length(token) >= LEAST_TOKEN) & (score >= RATIO) & (score >= RATIO_PER_CHAR * F.length(token))
 
     return docs.withColumn("base", base).withColumn("found", judged).withColumn("found", F.array_sort(F.concat("base", F.filter("found", random))))
 

@@ -124,6 +124,102 @@ def test_bpe_against_tiktoken(spark):
     same([(r.doc_id, list(r.ids), r.ids_sha256, r.decoded_sha256) for r in got], want)
 
 
+def test_merge_replay_of_awkward_words():
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path(bpe.RANKS), "rb") as f:
+        vocabulary = bpe.Merges(f.read())
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=vocabulary.rank, special_tokens={})
+    rng = random.Random(4)
+    words = [b"a" * k for k in range(1, 70)] + [b" " * k for k in range(1, 40)] + [b"=" * 5000, b"a" * 30001, b"\0\0x"]
+    words += [bytes(rng.choice(b"abeti ") for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 20))) for _ in range(3000)]
+    assert vocabulary.encode_words(words) == [struct.pack(f"<{len(ids)}I", *ids) for ids in map(own._encode_single_piece, words)]
+    assert bpe.unpack_words(bpe.pack_words(words)) == words and bpe.unpack_words(bpe.pack_words([])) == []
+
+
+def test_bpe_over_many_chunks_and_parts(spark, sf_dir, monkeypatch):
+    """Chunks of a few texts, several buckets and parts: the same digests as in one chunk; a text of megabytes goes whole."""
+    import public_tokenizers as P
+
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(400_000))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, long)], "doc_id long, text string"))
+    run = lambda: sorted(tuple(r) for r in bpe.encode(docs, str(P.path(bpe.RANKS)), P.PATTERN, ["doc_id"], with_ids=False).collect())
+    want = run()
+    for name, value in (("CHUNK_CHARS", 40_000), ("BUCKET_CHUNKS", 3), ("PART_CHUNKS", 4)):
+        monkeypatch.setattr(bpe, name, value)
+    assert run() == want
+    assert want[0][0] == -1 and want[0][3] == hashlib.sha256(long.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_against_a_schedule_slot_by_slot(spark, seed):
+    rng = random.Random(seed)
+    names, weights = [f"src{i}" for i in range(5)], {f"src{i}": rng.randint(1, 9) for i in range(4)}
+    rows = [(i, "t", "en", rng.choices(names, [9, 1, 1, 3, 2])[0]) for i in range(400)]
+    got = mixing.mix(data.frame(spark, rows), weights, rest_weight=2, block_rows=4).collect()
+    size = Counter(r[3] if r[3] in weights else mixing.REST for r in rows)
+    want = brute.pfair_slots({s: -(-n // 4) for s, n in size.items()}, weights | {mixing.REST: 2})
+    assert {(r.source if r.source in weights else mixing.REST, r.mix_block): r.mix_slot for r in got} == want
+    assert [r.mix_slot for r in sorted(got, key=lambda r: r.mix_position)] == sorted(r.mix_slot for r in got)
+
+
+def test_shards_against_plain_differencing(spark):
+    rng = random.Random(2)
+    rows = [(i, "x" * n, "en", "s") for i, n in enumerate(rng.sample(range(50, 900_000), 37))]
+    sums = Counter()
+    for r in sharding.shard(data.frame(spark, rows), 5).collect():
+        sums[r.shard] += r.size
+    assert sorted(sums.values()) == brute.differenced([len(r[1]) + 8 for r in rows], 5)
+
+
+def test_divergence_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").union(data.frame(spark).select("doc_id", "text", "lang", "source"))
+    rows = docs.collect()
+    got = quality.measure(docs, ["doc_id", "text", "lang"]).collect()
+    want = {(r.doc_id, r.text, r.lang): w for r, w in zip(rows, brute.divergence([(r.text, r.lang) for r in rows], quality.COMMON_WORDS), strict=True)}
+    for r in got:
+        chars, words, failed = want[r.doc_id, r.text, r.lang]
+        assert abs(r.char_distance - chars) < 1e-6 and abs(r.word_distance - words) < 1e-6, r.doc_id
+        assert r.base_failed == failed and r.kept == (not failed and chars <= quality.CHAR_LIMIT and words <= quality.WORD_LIMIT + quality.NOISE / max(r.n_words, 1) ** 0.5)
+    assert 0 < sum(r.kept for r in got) < sum(not r.base_failed for r in got)
+
+
+def test_markov_spans_against_brute_force(spark, sf_dir):
+    rng = random.Random(6)
+    letters = string.ascii_letters + string.digits
+    tokens = ["".join(rng.choice(letters) for _ in range(rng.randint(16, 50))) for _ in range(40)] + ["/usr/lib/module/config-server/main_view", "123e4567-e89b-12d3-a456-426614174000", "aZ9" * 9]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, f"ü {t}, token={t[:9]} {t}") for i, t in enumerate(tokens)], "doc_id long, text string"))
+    models = secrets.train(docs)
+    from pyspark.sql import functions as F
+
+    got = secrets.scan(docs).select("text", secrets.listed(F.filter("found", lambda x: x["k"] == secrets.MARKOV)).alias("f")).collect()
+    assert sum(r.f != "" for r in got) > 30
+    assert all(r.f == ",".join(brute.markov_spans(r.text or "", models, secrets.ORDINARY)) for r in got)
+
+
+ORDINARY = {
+    "url path": lambda w, n: f"{w()}/{w()}/{w()}/{n(99999)}/{w()}-{w()}",
+    "file path": lambda w, n: f"/usr/lib/{w()}{n(9)}/{w()}-{w()}/{w()}_{w()}",
+    "dated name": lambda w, n: f"{w()}-{w()}-20{10 + n(19)}-0{n(9)}-1{n(9)}-{w()}",
+    "time stamp": lambda w, n: f"{w()}_{w()}_20{10 + n(19)}0{n(9)}1{n(9)}_{100000 + n(99999)}",
+    "uuid": lambda w, n: "-".join(f"{n(16**k - 1):0{k}x}" for k in (8, 4, 4, 4, 12)),
+    "camel case": lambda w, n: w() + "".join(w().capitalize() for _ in range(4)),
+    "constant": lambda w, n: "_".join(w().upper() for _ in range(4)),
+}
+
+
+def test_ordinary_identifiers_are_no_secrets(spark, sf_dir):
+    """Under 2 in 100 of each kind."""
+    rng = random.Random(12)
+    some = "config kitchen module reading house order station python source maple render widget alpha token garden river images profile settings download".split()
+    rows = [(10**6 + 100 * k + i, f"x {make(lambda: rng.choice(some), lambda most: rng.randint(1, most))} y") for k, make in enumerate(ORDINARY.values()) for i in range(100)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = secrets.scan(docs.union(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id >= 1000000 and size(found) > 0").select("doc_id").collect()
+    assert all(n < 2 for n in Counter((r.doc_id - 10**6) // 100 for r in found).values())
+
+
 def test_mix_positions_and_shares(spark):
     rows = [(i, "t", "en", "src0" if i % 3 else "src1") for i in range(600)]
     got = sorted(mixing.mix(data.frame(spark, rows), {"src0": 3, "src1": 1}, block_rows=8).collect(), key=lambda r: r.mix_position)
@@ -197,6 +293,49 @@ def test_surrogates_of_phone_forms_titles_and_untitled_names(spark):
     assert by[12].text == rows[-1][1] and by[12].n_entities == 0
 
 
+LABELLED = [
+    ("Mail {} today", "x@y.co"), ("Mail {}, thanks", "anna.lee+news@mail.example.org"), ("at {} now", "10.0.0.7"), ("host {}.", "192.168.17.250"), ("IBAN {} please", "DE89 3704 0044 0532 0130 00"),
+    ("iban {}", "GB29NWBK60161331926819"), ("SSN {} on file", "123-45-6789"), ("card {} ok", "4111 1111 1111 1111"), ("card {} ok", "378282246310005"), ("call {} or", "+1 (555) 555-0199"), ("call {}", "555.123.4567"),
+    ("tel {}", "(030) 123 4567"), ("tel {}", "0171 123 4567"), ("met {} there", "Mary Miller"), ("met {} there", "Dr. Miller"), ("met {} there", "Hans Weber"), ("met {} there", "Ольга Иванова"), ("met {} there", "Νίκος Παππάς"), ("met {} there", "Mr כהן"), ("met {} there", "Dr. 田中 太郎"),
+]
+CLEAN = ["order 12345678 of 20240611", "12.345.678 items", "2024-06-11 10:15", "version 1.2.3 of 7", "room 4 1 1", "Paris and London", "Size M Large", "a 3 4 5 b", "serial 99887766554"]
+
+
+def test_surrogates_against_labels(spark):
+    """Every labelled entity goes and nothing else; surrogates keep type, script, format and checks, differ, and recur."""
+    import re
+
+    rows = [(i, t.format(e), "en", "s") for i, (t, e) in enumerate(LABELLED)] + [(100 + i, t, "en", "s") for i, t in enumerate(CLEAN)] + [(200 + i, f"again: {e}; end", "en", "s") for i, (_, e) in enumerate(LABELLED)]
+    by = {r.doc_id: r for r in pii.surrogates(data.frame(spark, rows)).collect()}
+    assert all(by[100 + i].text == t and by[100 + i].n_entities == 0 for i, t in enumerate(CLEAN))
+    new = []
+    for i, (t, e) in enumerate(LABELLED):
+        head, tail = t.split("{}")
+        assert by[i].n_entities == 1 and by[i].text.startswith(head) and by[i].text.endswith(tail) and e not in by[i].text, e
+        new.append(by[i].text[len(head) : len(by[i].text) - len(tail)])
+        assert by[200 + i].text == f"again: {new[-1]}; end"
+    assert len(set(new)) == len(new)
+    for (_, e), n in zip(LABELLED, new, strict=True):
+        if re.match(r"^[\d+(]", e) and "." not in e[:4]:
+            assert re.sub(r"\d", "9", n) == re.sub(r"\d", "9", e)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(re.sub(r"\D", "", d)))) % 10
+    assert luhn(new[7]) == luhn(new[8]) == 0
+    for n in new[4:6]:
+        plain = n.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and plain[:2] in ("DE", "GB")
+    assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", new[6])
+    assert new[13].split()[1] == new[14].split()[1] and new[13].split()[0][-1] == "a"
+    scripts = ["[А-яЁё]", "[Ͱ-Ͽ]", "[\u0590-\u05ff]", "[\u4e00-\u9fff]"]
+    assert all(re.fullmatch(rf"(?:(?:Mr|Dr\.) )?{s}+(?: {s}+)?", n) for s, n in zip(scripts, new[16:20], strict=True))
+
+
+def test_surrogates_of_more_short_addresses_than_there_are(spark):
+    letters = string.ascii_lowercase
+    rows = [(i, f"{a}@{b}.co", "en", "s") for i, (a, b) in enumerate((a, b) for a in letters for b in letters[:20])]
+    got = [r.text for r in pii.surrogates(data.frame(spark, rows)).collect()]
+    assert len(set(got)) == len(rows) and not set(got) & {r[1] for r in rows}
+
+
 def test_empty_tables(spark):
     import public_tokenizers as P
 

@@ -5,7 +5,33 @@ from __future__ import annotations
 import corpus_pipeline
 from seamline.llm import quality
 
-from . import brute
+from . import brute, data
+
+OWN = ["kept", "base", "found", "masked", "mix_slot", "mix_position", "n_words", "k0", "row", "hash", "key", "c1"]
+
+
+def test_stages_keep_columns_named_like_their_own(spark, sf_dir):
+    """Nulls, empty and repeated rows, and clashing names: each stage returns such columns unchanged."""
+    from pyspark.sql import functions as F
+
+    rows = data.frame(spark).select("doc_id", "text", "lang", "source").union(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id") + 1000, "text", "lang", "source"))
+    docs = rows.withColumn("n_chars", F.length("text").cast("long")).withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce("doc_id", F.lit(-1)).cast("string")) for c in OWN})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == "encoding":
+            assert out.count() == docs.count() and sorted(r.mix_position for r in out.collect()) == list(range(docs.count()))
+            continue
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c} {-1 if r.doc_id is None else r.doc_id}" for r in got for c in OWN)
+        assert all(r.text is None or r.n_chars == len(r.text) for r in got)
+        if name in ("secret_scan", "source_mix"):
+            assert len(got) == docs.count()
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    assert [stage(spark, docs, sf_dir).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
 
 
 def test_stages(spark, sf_dir, tmp_path):
