@@ -57,3 +57,14 @@ def log_fields(line: Column) -> Column:
     """map of the key=value pairs of a log line."""
     pairs = F.regexp_extract_all(plain(line), F.lit(r"(\w+=[^\s,]+)"), F.lit(1))
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.split(p, "=", 2)[0].alias("key"), F.split(p, "=", 2)[1].alias("value"))))
+
+
+def wide_first(size: Column) -> Column:
+    """A size like 200x50 or 50X200 with the wider side first; null where it isn't one."""
+    side = lambda i: F.regexp_extract(size, r"^(\d+)[xX](\d+)$", i).try_cast("int")
+    return F.concat(F.greatest(side(1), side(2)).cast("string"), F.lit("x"), F.least(side(1), side(2)).cast("string"))
+
+
+def at_first_underscore(name: Column) -> Column:
+    """What stands before and after the first underscore."""
+    return F.split(name, "_", 2)

@@ -29,3 +29,8 @@ def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
 
 def percent(hits: Column, of: Column) -> Column:
     return F.coalesce(F.try_divide(hits.cast("double"), of.cast("double")), F.lit(0.0)) * 100
+
+
+def ratio_of_z(z: Column) -> Column:
+    """A deviation on the scale of ratios: 1 + z / 10."""
+    return 1 + z * 0.1

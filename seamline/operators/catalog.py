@@ -41,18 +41,19 @@ def stratified(folders: DataFrame, most: int, key: str = "name", date: str = "pr
 
     Within a date, and for the rest, folders are taken in order of md5 of their key.
     """
-    if folders.count() <= most:
-        return folders
-    dates = folders.select(date).distinct()
-    n_dates = dates.count()
-    quota = F.lit(most // n_dates) + (F.col("at") <= most % n_dates).cast("int")
-    # One row a date: a window over all of them is small.
-    quotas = dates.withColumn("at", F.row_number().over(Window.orderBy(date))).select(F.col(date).alias("q_date"), quota.alias("quota"))
+    from seamline.plans.lineage import cut
+
+    rows = cut(folders)  # parsed once for the counts by date and for the ranking
+    sizes = {r[0]: r[1] for r in rows.groupBy(date).count().collect()}  # one a date
+    if sum(sizes.values()) <= most:
+        return rows
+    dates = sorted(sizes, key=lambda d: (d is not None, d if d is not None else ""))
+    quota = {d: most // len(dates) + (i < most % len(dates)) for i, d in enumerate(dates)}
+    short = most - sum(min(quota[d], n) for d, n in sizes.items())
+    quotas = rows.sparkSession.createDataFrame(list(quota.items()), rows.select(F.col(date).alias("q_date"), F.lit(0).alias("quota")).schema)
     order = [F.md5(F.col(key).cast("binary")), F.col(key)]
-    placed = folders.withColumn("rn", F.row_number().over(Window.partitionBy(date).orderBy(*order))).join(quotas, F.col(date).eqNullSafe(F.col("q_date")))
-    taken = placed.where("rn <= quota")
-    short = most - taken.count()
-    rest = placed.where("rn > quota").orderBy(*order).limit(max(short, 0))
+    placed = rows.withColumn("rn", F.row_number().over(Window.partitionBy(date).orderBy(*order))).join(F.broadcast(quotas), F.col(date).eqNullSafe(F.col("q_date")))
+    taken, rest = placed.where("rn <= quota"), placed.where("rn > quota").orderBy(*order).limit(max(short, 0))
     return taken.union(rest).select(*folders.columns)
 
 
@@ -85,3 +86,38 @@ def paired_strips(means: DataFrame) -> DataFrame:
     """cam_id, strip, gap between each camera of a pair and its mirror. ``means``: cam_id 1 to 10, strip 0 to 9, mean."""
     other = means.select((11 - F.col("cam_id")).alias("cam_id"), (9 - F.col("strip")).alias("strip"), F.col("mean").alias("mirror"))
     return means.where("cam_id <= 5").join(other, ["cam_id", "strip"]).select("cam_id", "strip", F.abs(F.col("mean") - F.col("mirror")).alias("gap"))
+
+
+def defect_split(folders: DataFrame, pattern: str, mark: str) -> DataFrame:
+    """Folders whose name has ``pattern``, with is_defect where it also has ``mark``."""
+    return folders.where(F.contains("name", F.lit(pattern))).withColumn("is_defect", F.contains("name", F.lit(mark)))
+
+
+def date_policy(folders: DataFrame, policy: str, every: int = 5, date: str = "prod_date", key: str = "name") -> DataFrame:
+    """Normal folders to train on. drop: none of a date with a defect folder; keep: all; sparse: of such dates every ``every``-th, by md5 of the key."""
+    normal = folders.where(~F.col("is_defect"))
+    if policy == "keep":
+        return normal
+    spoilt = folders.where("is_defect").select(date).distinct()
+    if policy == "drop":
+        return normal.join(spoilt, date, "left_anti").select(*folders.columns)
+    if policy != "sparse":
+        raise ValueError(f"no policy {policy}")
+    by = Window.partitionBy(date).orderBy(F.md5(F.col(key).cast("binary")), F.col(key))
+    thin = normal.join(spoilt.withColumn("spoilt", F.lit(True)), date, "left").withColumn("rn", F.row_number().over(by))
+    return thin.where("spoilt is null or (rn - 1) % %d = 0".replace("%d", str(every))).select(*folders.columns)
+
+
+def camera_dimension(spark) -> DataFrame:
+    """cam_id, group_id, is_mirror of the ten cameras."""
+    from seamline.functions.names import camera_group, mirrored
+
+    cams = spark.range(1, 11).select(F.col("id").cast("int").alias("cam_id"))
+    return cams.select("cam_id", camera_group(F.col("cam_id")).cast("int").alias("group_id"), mirrored(F.col("cam_id")).alias("is_mirror"))
+
+
+def manifest(images: DataFrame, group: list[str], key: str, n: int, target: str) -> DataFrame:
+    """The first ``n`` images of each group by md5 of their key, with the path that a copy would have."""
+    by = Window.partitionBy(*group).orderBy(F.md5(F.col(key).cast("string").cast("binary")), F.col(key))
+    place = F.concat_ws("/", F.lit(target), *[F.col(c).cast("string") for c in group], F.concat(F.lpad(F.col("rn").cast("string"), 3, "0"), F.lit("_"), F.col(key).cast("string")))
+    return images.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= n).withColumn("copy_to", place).drop("rn")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from seamline.plans.lineage import cut
 
+from .ranks import ranked
+
 
 def farthest_points(v: np.ndarray, target: int) -> np.ndarray:
     """Indices of ``target`` rows, from row 0 on, each farthest from those before; ties to the first."""
@@ -20,7 +22,7 @@ def farthest_points(v: np.ndarray, target: int) -> np.ndarray:
 
 
 def _greedy(ratio: float, least: int):
-    def pick(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         at = farthest_points(np.array(pdf["v"].tolist(), float), max(least, int(len(pdf) * ratio)))
         out = pdf.iloc[at].copy()
@@ -31,23 +33,32 @@ def _greedy(ratio: float, least: int):
 
 
 def greedy(vectors: DataFrame, ratio: float, least: int = 1) -> DataFrame:
-    """model, id, v, pick: the greedy coreset of each model (model int, id long, v array). One model is one task: see partitioned()."""
+    """model, id, v, pick: the greedy coreset of each model (model int, id long, v array). One model is one task: partitioned() is for larger ones."""
     return vectors.select("model", "id", "v").groupBy("model").applyInPandas(_greedy(ratio, least), "model int, id long, v array<double>, pick int")
 
 
+def capped(vectors: DataFrame, most: int, key: str = "id") -> DataFrame:
+    """At most ``most`` rows, those whose key has the least md5; all if there are no more."""
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 12), 16, 10).cast("double")
+    return ranked(vectors.withColumn("_md5", digest), [], "_md5", [key]).where(F.col("rank") < most).select(*vectors.columns)
+
+
 def partitioned(vectors: DataFrame, ratio: float, rows: int = 20_000) -> DataFrame:
     """Composable coresets for models of any size: greedy within parts of about ``rows``, then within each model's union.
 
-    The union is ``ratio`` of the model; where it still exceeds ``rows``, it is parted again.
+    The union is ``ratio`` of the model. Where it is still over ``rows``, it is parted again; once the parts
+    hold their share already, their picks together are the coreset, and no task takes a union of any size.
+    ``pick`` numbers the picks of a part. (model, id) identifies a row; models don't meet.
     """
     current, left = vectors.select("model", "id", "v"), ratio
     while True:
         most = current.groupBy("model").count().agg(F.max("count")).first()[0] or 0
-        if most <= rows or left >= 1:
+        if most <= rows:
             return greedy(current, left)
         parts = -(-most // rows)
         share = max(left, 0.25)
-        tagged = current.withColumn("real", F.col("model")).withColumn("model", F.hash("model", F.pmod(F.xxhash64("id"), F.lit(parts))))
-        real = tagged.select("id", "real").distinct()
-        current = cut(greedy(tagged, share).select("id", "v").join(real, "id").select(F.col("real").alias("model"), "id", "v"))
-        left = left / share
+        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+        picked = current.withColumn("part", part).groupBy("model", "part").applyInPandas(_greedy(share, 1), "model int, id long, v array<double>, pick int")
+        if left >= 0.25:
+            return picked
+        current, left = cut(picked.drop("pick")), left / share

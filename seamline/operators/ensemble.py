@@ -60,3 +60,15 @@ def adaptive(scores: DataFrame, normal: DataFrame, threshold: float) -> DataFram
     stats = normal.groupBy("method").agg(F.avg("score").alias("mean"), F.greatest(F.stddev_pop("score"), F.lit(1e-6)).alias("std"))
     z = (F.col("score") - F.col("mean")) / F.col("std")
     return scores.join(stats, "method").withColumn("z", z).withColumn("detected", F.col("z") > threshold).drop("mean", "std")
+
+
+def search(z: DataFrame, keys: list[str], members: dict[str, list[str]], top: int = 2) -> DataFrame:
+    """keys, subset, agg, image_id, score: each subset of metrics combined by max, mean and mean of the ``top`` highest z.
+
+    ``z``: keys, image_id, metric, z. Rows are multiplied by the subsets that a metric is in, and no further.
+    """
+    of = {m: [n for n, ms in members.items() if m in ms] for ms in members.values() for m in ms}
+    lists = F.create_map(*[x for m, ns in of.items() for x in (F.lit(m), F.array(*[F.lit(n) for n in ns]))])
+    each = z.select(*keys, "image_id", "z", F.explode(F.try_element_at(lists, F.col("metric"))).alias("subset")).groupBy(*keys, "subset", "image_id").agg(F.sort_array(F.collect_list("z"), asc=False).alias("zs"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+    return each.select(*keys, "subset", "image_id", F.explode(F.create_map(F.lit("max"), F.get("zs", F.lit(0)), F.lit("mean"), mean(F.col("zs")), F.lit("top"), mean(F.slice("zs", 1, top)))).alias("agg", "score"))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from seamline.functions.stats import bin_of, percent
 
+from .ranks import percentiles
+
 
 def sweep(rows: DataFrame, thresholds: list[float], keys: list[str] | None = None) -> DataFrame:
     """keys, threshold, tp, fp, fn, tn, precision, recall, f1, fpr of score > threshold; 0 where undefined.
@@ -81,9 +83,9 @@ def pr_best_f1(rows: DataFrame) -> DataFrame:
 
 def at_percentiles(rows: DataFrame, percents: list[float]) -> DataFrame:
     """percentile, threshold (of normal scores), detect_pct: share of defects above it."""
-    ps = F.array(*[F.lit(p / 100) for p in percents])
-    normal = rows.where(~F.col("label")).agg(F.percentile("score", ps).alias("t"))
-    cuts = normal.select(F.posexplode("t").alias("at", "threshold"))
+    names = {f"p{i}": p / 100 for i, p in enumerate(percents)}
+    normal = percentiles(rows.where(~F.col("label")), [], "score", names)
+    cuts = normal.select(F.posexplode(F.array(*names)).alias("at", "threshold"))
     defects = rows.where("label").join(F.broadcast(cuts))
     hit = defects.groupBy("at", "threshold").agg(percent(F.sum((F.col("score") > F.col("threshold")).cast("long")), F.count(F.lit(1))).alias("detect_pct"))
     return hit.select(F.element_at(F.array(*[F.lit(float(p)) for p in percents]), F.col("at") + 1).alias("percentile"), "threshold", "detect_pct")
@@ -107,3 +109,21 @@ def rate_cube(facts: DataFrame, dims: list[str]) -> DataFrame:
 def overfit_gap(pairs: DataFrame) -> DataFrame:
     """gap_pct of the mean scores by the same bank and by a fair one. ``pairs``: same, fair."""
     return pairs.agg((F.abs(F.avg("same") - F.avg("fair")) / F.greatest(F.avg("fair"), F.lit(1e-6)) * 100).alias("gap_pct"))
+
+
+def paired(facts: DataFrame, first: str, second: str, keys: list[str]) -> DataFrame:
+    """keys, score_a, score_b, hit_a, hit_b of two methods where both have a row. ``facts``: keys, method, score, detected."""
+    one = lambda m, s: facts.where(F.col("method") == m).select(*keys, F.col("score").alias(f"score_{s}"), F.col("detected").alias(f"hit_{s}"))
+    return one(first, "a").join(one(second, "b"), keys)
+
+
+def against_own_normal(defects: DataFrame, normal: DataFrame, keys: list[str]) -> DataFrame:
+    """Defect scores with the ratio to the clean score of the same tile (null where that isn't positive)."""
+    clean = normal.groupBy(*keys).agg(F.avg("score").alias("clean"))
+    return defects.join(clean, keys).withColumn("ratio", F.when(F.col("clean") > 0, F.col("score") / F.col("clean")))
+
+
+def median_separation(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, separation: median score of defects less that of normal rows, where a key has both."""
+    m = percentiles(rows, [*keys, "label"], "score", {"m": 0.5})
+    return m.groupBy(*keys).agg((F.max(F.when(F.col("label"), F.col("m"))) - F.max(F.when(~F.col("label"), F.col("m")))).alias("separation")).where("separation is not null")

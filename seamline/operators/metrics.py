@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from seamline.functions.stats import zscore
 
+#: Names and order of the metrics.
 METRICS = ["tile_max_raw", "tile_mean_raw", "tile_p95_raw", "tile_max_z", "tile_mean_z", "tile_p95_z", "anomaly_count", "cluster_score", "max_vertical_run", "z_skewness", "z_kurtosis"]
 
 

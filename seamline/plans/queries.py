@@ -352,12 +352,17 @@ def image_top3_mean(spark, sf):
 
 
 _SKEW = "CASE WHEN count(z) > 3 AND var_pop(z) > 0 THEN (avg(z*z*z) - 3*avg(z)*avg(z*z) + 2*avg(z)*avg(z)*avg(z)) / pow(var_pop(z), 1.5) ELSE 0 END"
+_KURT = "CASE WHEN count(z) > 3 AND var_pop(z) > 0 THEN (avg(z*z*z*z) - 4*avg(z)*avg(z*z*z) + 6*avg(z)*avg(z)*avg(z*z) - 3*avg(z)*avg(z)*avg(z)*avg(z)) / pow(var_pop(z), 2) - 3 ELSE 0 END"
+_HOT = f"{_STATS}, hot AS (SELECT image_id, row, col FROM z WHERE z > 0.5)"
+_CLUSTERS = "reach AS (SELECT image_id, row AS r, col AS c, row, col FROM hot UNION SELECT a.image_id, a.r, a.c, b.row, b.col FROM reach a JOIN hot b ON a.image_id = b.image_id AND abs(a.row - b.row) + abs(a.col - b.col) = 1), sizes AS (SELECT image_id, r, c, count(*) AS n FROM reach GROUP BY ALL), cl AS (SELECT image_id, max(n) AS largest, round(sqrt(max(n) * count(*)), 6) AS cluster_score FROM sizes GROUP BY 1)"
+_RUNS = "isl AS (SELECT image_id, col, row - row_number() OVER (PARTITION BY image_id, col ORDER BY row) AS island FROM hot), vr AS (SELECT image_id, max(n) AS run FROM (SELECT image_id, col, island, count(*) AS n FROM isl GROUP BY ALL) GROUP BY 1)"
 
 
-@query(f"WITH {_STATS} SELECT image_id, round(max(score), 6) AS tile_max_raw, round(quantile_cont(score, 0.95), 6) AS tile_p95_raw, round(max(z), 6) AS tile_max_z, round(avg(z), 6) AS tile_mean_z, round(quantile_cont(z, 0.95), 6) AS tile_p95_z, CAST(count(*) FILTER (WHERE z > 0.5) AS DOUBLE) AS anomaly_count, round({_SKEW}, 5) AS z_skewness FROM z GROUP BY 1")
+@query(f"WITH RECURSIVE {_HOT}, {_CLUSTERS}, {_RUNS}, m AS (SELECT image_id, round(max(score), 6) AS tile_max_raw, round(avg(score), 6) AS tile_mean_raw, round(quantile_cont(score, 0.95), 6) AS tile_p95_raw, round(max(z), 6) AS tile_max_z, round(avg(z), 6) AS tile_mean_z, round(quantile_cont(z, 0.95), 6) AS tile_p95_z, CAST(count(*) FILTER (WHERE z > 0.5) AS DOUBLE) AS anomaly_count, round({_SKEW}, 5) AS z_skewness, round({_KURT}, 4) AS z_kurtosis FROM z GROUP BY 1) SELECT m.*, coalesce(cluster_score, 0) AS cluster_score, CAST(coalesce(run, 0) AS DOUBLE) AS max_vertical_run FROM m LEFT JOIN cl USING (image_id) LEFT JOIN vr USING (image_id)")
 def image_metrics(spark, sf):
     m = metrics.image_metrics(cells_of(spark, sf), 0.5)
-    return m.select("image_id", *[r6(c).alias(c) for c in ("tile_max_raw", "tile_p95_raw", "tile_max_z", "tile_mean_z", "tile_p95_z")], "anomaly_count", F.round("z_skewness", 5).alias("z_skewness"))
+    digits = {"z_skewness": 5, "z_kurtosis": 4}
+    return m.select("image_id", *[F.round(c, digits.get(c, 6)).alias(c) for c in metrics.METRICS])
 
 
 @query(f"WITH {_STATS}, h AS (SELECT image_id, col, row - row_number() OVER (PARTITION BY image_id, col ORDER BY row) AS island FROM z WHERE z > 0.5), c AS (SELECT image_id, col, island, count(*) AS n FROM h GROUP BY ALL) SELECT image_id, max(n) AS max_vertical_run FROM c GROUP BY 1")
@@ -365,7 +370,7 @@ def image_vertical_run(spark, sf):
     return metrics.vertical_run(cells_of(spark, sf), 0.5)
 
 
-@query()
+@query(f"WITH RECURSIVE {_HOT}, {_CLUSTERS} SELECT image_id, largest, cluster_score FROM cl")
 def image_cluster_score(spark, sf):
     return metrics.cluster_score(cells_of(spark, sf), 0.5).withColumn("cluster_score", r6("cluster_score"))
 
@@ -451,9 +456,9 @@ def eval_best_f1(spark, sf):
     return _rounded(evaluate.best_f1(_swept(spark, sf)))
 
 
-@query(f"WITH {_SW} SELECT {_SWC} FROM sw WHERE sw.fpr <= 0.05 ORDER BY sw.recall DESC, threshold LIMIT 1")
+@query(f"WITH {_SW.replace('CAST(i AS DOUBLE)', 'CAST(5 * i AS DOUBLE)')} SELECT {_SWC} FROM sw WHERE sw.fpr <= 0.05 ORDER BY sw.recall DESC, threshold LIMIT 1")
 def eval_max_det_fp5(spark, sf):
-    return _rounded(evaluate.best_within_fpr(_swept(spark, sf)))
+    return _rounded(evaluate.best_within_fpr(evaluate.sweep(labelled(spark, sf), [5.0 * i for i in range(1, 61)])))
 
 
 _AUC = "count(*) FILTER (WHERE label) AS n_pos, count(*) FILTER (WHERE NOT label) AS n_neg, round((sum(r) FILTER (WHERE label) - count(*) FILTER (WHERE label) * (count(*) FILTER (WHERE label) + 1) / 2.0) / (count(*) FILTER (WHERE label) * count(*) FILTER (WHERE NOT label)), 6) AS auroc"
@@ -544,10 +549,10 @@ def set_union_rejects(spark, sf):
     return e.where("value > 40").select("user_id").union(e.where("event_type = 'error'").select("user_id")).distinct()
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 60)")
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 250)")
 def set_difference_unused(spark, sf):
     e = _t(spark, sf, "events")
-    return e.select("user_id").distinct().join(e.where("value > 60").select("user_id"), "user_id", "left_anti")
+    return e.select("user_id").distinct().join(e.where("value > 250").select("user_id"), "user_id", "left_anti")
 
 
 @query("SELECT user_id FROM events WHERE value > 40 INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
@@ -654,3 +659,5 @@ def vec_project(spark, sf):
 
 
 ENTRY = "image_most_anomalous"
+
+from seamline.plans import more  # noqa: E402, F401  registers the rest

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seamline.functions import names, stats, vectors
-from seamline.operators import catalog, coreset, ensemble, evaluate, grid, knn, metrics, raster, selfval
+from seamline.functions import matrices, names, stats, vectors
+from seamline.operators import catalog, coreset, ensemble, evaluate, grid, knn, metrics, ranks, raster, selfval
 from seamline.sources import images
 from seamline.streaming.scorer import score_stream
 
@@ -77,6 +77,110 @@ def test_coreset_radius_falls(spark):
     assert 10 <= len(parted) <= 30 and len({r.id for r in parted}) == len(parted)
 
 
+def test_partitioned_coreset_of_two_models_with_shared_ids(spark):
+    """Models don't meet, ids may repeat between them, and no part takes a whole union."""
+    v = np.random.default_rng(3).normal(size=(300, 3))
+    df = spark.createDataFrame([(m, i, (x + m).tolist()) for m in (0, 1) for i, x in enumerate(v)], "model int, id long, v array<double>")
+    got = coreset.partitioned(df, 0.1, rows=40).collect()
+    assert len({(r.model, r.id) for r in got}) == len(got)
+    for m in (0, 1):
+        own = {r.id: r.v for r in got if r.model == m}
+        assert 15 <= len(own) <= 75 and all(np.allclose(own[i], v[i] + m) for i in own)
+    assert {r.id for r in coreset.capped(df.where("model = 0"), 20).collect()} == set(sorted(range(300), key=lambda i: (__import__("hashlib").md5(str(i).encode()).hexdigest()[:12], i))[:20])
+
+
+def test_greedy_coreset_against_brute_force(spark):
+    v = np.random.default_rng(4).normal(size=(50, 3))
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "model int, id long, v array<double>")
+    picks = [0]
+    while len(picks) < 10:
+        picks.append(max(range(50), key=lambda i: (min(np.linalg.norm(v[i] - v[p]) for p in picks), -i)))
+    assert [r.id for r in coreset.greedy(df, 0.2).orderBy("pick").collect()] == picks
+
+
+def test_self_validation_against_brute_force(spark):
+    """One round: bank, scores, rejection over the higher of both limits; then the bank and threshold of what is left."""
+    rng = np.random.default_rng(5)
+    v = np.r_[rng.normal(size=(60, 2)), [[9.0, 9.0]], [[-8.0, 7.0]]]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    bank = v[coreset.farthest_points(v, 6)]
+    score = np.linalg.norm(v[:, None] - bank[None], axis=2).min(1)
+    mad = np.median(abs(score - np.median(score)))
+    limit = max(np.median(score) + 3.5 * 1.4826 * mad, np.percentile(score, 95))
+    kept, rebuilt, threshold = selfval.validate_once(df, 0.1)
+    assert {r.id for r in kept.collect()} == set(np.flatnonzero(score <= limit).tolist())
+    left = v[score <= limit]
+    again = left[coreset.farthest_points(left, int(len(left) * 0.1))]
+    assert sorted(map(tuple, again.tolist())) == sorted(tuple(r.v) for r in rebuilt.collect())
+    s = np.linalg.norm(left[:, None] - again[None], axis=2).min(1)
+    t = threshold.first()
+    assert math.isclose(t.threshold, np.median(s) + 3.5 * 1.4826 * np.median(abs(s - np.median(s))))
+
+
+def test_ranks_and_percentiles(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=500), 1)
+    df = spark.createDataFrame([("ab"[i % 2], i, float(a)) for i, a in enumerate(x)], "k string, i long, x double")
+    got = {r.k: r for r in ranks.percentiles(df, ["k"], "x", {"p5": 0.05, "p50": 0.5, "p99": 0.99}, parts=7).collect()}
+    for j, k in enumerate("ab"):
+        assert np.allclose([got[k].p5, got[k].p50, got[k].p99], np.percentile(x[j::2], [5, 50, 99]))
+    placed = ranks.ranked(df, ["k"], "x", ["i"], parts=7).where("k = 'a'").orderBy("rank").collect()
+    assert [r.i for r in placed] == sorted(range(0, 500, 2), key=lambda i: (x[i], i)) and [r["rank"] for r in placed] == list(range(250))
+
+
+def test_matrices_against_numpy(spark):
+    img = np.random.default_rng(7).uniform(0, 255, (8, 8))
+    other = np.clip(img + 9, 0, 255)
+    df = spark.createDataFrame([(img.ravel().tolist(), other.ravel().tolist())], "a array<double>, b array<double>")
+    m, o = matrices.rows_of(F.col("a"), 8), matrices.rows_of(F.col("b"), 8)
+    half, window = matrices.bilinear(8, 4), matrices.gaussian(8, 1.5, 5)
+    r = df.select(matrices.separable(m, half, half).alias("half"), matrices.spectrum(m, 8).alias("spectrum"), matrices.separable(m, matrices.dct(8), matrices.dct(8)).alias("dct"), matrices.ssim_map(m, o, window).alias("ssim")).first()
+    assert np.allclose(r.half, img.reshape(4, 2, 4, 2).mean((1, 3)))
+    assert np.allclose(r.spectrum, abs(np.fft.fft2(img))) and np.isclose((np.array(r.dct) ** 2).sum(), (img**2).sum())
+    pad = np.pad(img, 5, mode="reflect")
+    k = np.exp(-(np.arange(-5, 6) ** 2) / 4.5)
+    k /= k.sum()
+    smooth = np.array([[(pad[y : y + 11, x : x + 11] * np.outer(k, k)).sum() for x in range(8)] for y in range(8)])
+    assert np.allclose(window @ img @ window.T, smooth)
+    g = lambda z: window @ z @ window.T
+    p, q = g(img), g(other)
+    want = (2 * p * q + 6.5025) * (2 * (g(img * other) - p * q) + 58.5225) / ((p**2 + q**2 + 6.5025) * (g(img * img) - p**2 + g(other * other) - q**2 + 58.5225))
+    assert np.allclose(r.ssim, want.ravel())
+
+
+def test_raster_measures_against_brute_force(spark):
+    img = np.random.default_rng(8).uniform(0, 255, (8, 8))
+    df = spark.createDataFrame([(3, 8, img.ravel().tolist())], "id long, width int, pixels array<double>")
+    r = next(x for x in raster.measure(df).collect() if x.kind == "clean")
+    k = np.arange(8)
+    wave = np.exp(-2j * np.pi * np.outer(k, k) / 8)
+    assert math.isclose(r.fft_high, raster.fft_high(img)) and np.allclose(wave @ img @ wave.T, np.fft.fft2(img))
+    assert math.isclose(r.multires, np.mean([img.std(), img.reshape(4, 2, 4, 2).mean((1, 3)).std(), img.reshape(2, 4, 2, 4).mean((1, 3)).std()]))
+    c = matrices.dct(8) @ img @ matrices.dct(8).T
+    assert np.allclose(raster.dct2(img), c) and abs(r.ssim_distance) < 1e-12
+
+
+def test_pca_error_against_numpy(spark, sf_dir):
+    from seamline.plans import queries
+
+    got = {r.id: r.error for r in queries.QUERIES["pca_recon_error"](spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    v, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    bank = v[ids % 5 == 0]
+    _, _, axes = np.linalg.svd(bank - bank.mean(0), full_matrices=False)
+    c = v - bank.mean(0)
+    want = np.linalg.norm(c - c @ axes[:8].T @ axes[:8], axis=1)
+    assert np.allclose([got[i] for i in ids.tolist()], want, atol=1e-5)
+
+
+def test_malformed_lines(spark):
+    df = spark.createDataFrame([("cam=1, kind=a",), ("no fields",), ("cam=, =x, kind=b=c",), ("",), (None,)], "line string")
+    got = [r.f for r in df.select(names.log_fields(F.col("line")).alias("f")).collect()]
+    assert got == [{"cam": "1", "kind": "a"}, {}, {"kind": "b=c"}, {}, None]
+    sizes = spark.createDataFrame([("50X200",), ("200x50",), ("x",), ("",)], "s string").select(names.wide_first(F.col("s")).alias("w")).collect()
+    assert [r.w for r in sizes] == ["200x50", "200x50", None, None]
+
+
 def test_thresholds_and_rejection(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(20)] + [("a", 100.0)], "k string, score double")
     t = selfval.mad_threshold(df, ["k"]).first()
