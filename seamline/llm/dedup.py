@@ -5,8 +5,10 @@ strings in it. Equal windows have equal anchors at equal places, so windows can
 anchors do. Windows of one text with one anchor form a segment; segments whose anchor occurs once in
 the corpus are dropped, equal ones are counted and kept once, and the rest go to run-length indexes,
 whole anchors together and a text's overlapping segments merged, where matching statistics find the
-windows that start elsewhere as well. Of an anchor with more text than an index takes, every window
-is compared by digest instead, spread over the cluster. Covered bytes are then cut from the texts.
+windows that start elsewhere as well. Where an anchor has more text than an index takes, its windows are
+dealt on by where the anchor stands in them and by the longer string that all windows of such a range
+share, with narrower ranges until an index takes each group: a group's windows only match each other.
+Ranges of one window are equal or not as a whole. Covered bytes are then cut from the texts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .textblock import TextBlock, blocks
 LENGTH, ANCHOR = 400, 200
 #: Bytes of text that one index takes.
 INDEX_BYTES = 2_000_000
+#: How many places of an anchor in its windows make a range, where the anchor has more text than that.
+RANGES = (25, 5, 1)
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -155,15 +159,78 @@ def _search(length: int, most: int):
     return search
 
 
-def _digests(length: int):
-    def digest(batches):
+def _narrowed(length: int, anchor: int, width: int):
+    """Segments cut into ranges of ``width`` places of their anchor, each with what its windows share (core) and a name (sub)."""
+
+    def narrow(batches):
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
                 for a, s, start, w, c in zip(row["anchors"], row["segments"], row["starts"], row["windows"], row["copies"], strict=True):
-                    data = [hashlib.blake2b(row["piece"][start + k : start + k + length], digest_size=16).digest() for k in range(w)]
-                    yield pa.RecordBatch.from_arrays([pa.array([a] * w, pa.int64()), pa.array([s] * w, pa.int64()), pa.array(range(w), pa.int64()), pa.array([c] * w, pa.int64()), pa.array(data, pa.binary())], names=["anchor", "segment", "at", "copies", "digest"])
+                    data = row["piece"][start : start + w + length - 1]
+                    block = TextBlock(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+                    place = int(np.argmin(block.window_hash(block.sums(), anchor)[: length - anchor + 1]))
+                    k = 0
+                    while k < w:
+                        low = (place - k) // width * width
+                        high = min(low + width - 1, length - anchor)
+                        n = min(w, place - low + 1) - k
+                        core, sub = data[place - low : place - high + length], data[k : k + n + length - 1]
+                        out.append({"core": hashlib.blake2b(low.to_bytes(4, "little") + core, digest_size=16).digest(), "sub": hashlib.blake2b(sub, digest_size=16).digest(), "anchor": a, "segment": s, "at": k, "windows": n, "copies": c, "text": sub})
+                        k += n
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_NARROW)
+
+    return narrow
+
+
+_NARROW = pa.schema([("core", pa.binary()), ("sub", pa.binary()), ("anchor", pa.int64()), ("segment", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("copies", pa.int64()), ("text", pa.binary())])
+_NARROW_SQL = "core binary, sub binary, anchor long, segment long, at int, windows int, copies long, text binary"
+
+
+def _search_ranges(length: int, most: int):
+    """Repeated windows of each range in a pack, by indexes over whole cores."""
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        pdf = pdf.sort_values(["core", "sub"])
+        batch = pdf["text"].map(len).groupby(pdf["core"]).sum().cumsum() // most
+        for _, group in pdf.join(batch.rename("batch"), on="core").groupby("batch"):
+            texts = group["text"].tolist()
+            repeats = RunIndex(texts, length).longest_elsewhere() >= length
+            start = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
+            for core, sub, at, w, c in zip(group["core"], group["sub"], start, group["windows"], group["copies"], strict=False):
+                first, last = _runs(repeats[at : at + w] if c == 1 else np.ones(w, bool))
+                if first:
+                    out.append((core, sub, first, last))
+        return pd.DataFrame(out, columns=["core", "sub", "first", "last"])
+
+    return search
+
 
-    return digest
+def _heavy_repeats(heavy: DataFrame, length: int, anchor: int, index_bytes: int) -> DataFrame | None:
+    """anchor, segment, first, last: repeated windows of the segments of anchors that no index takes, by ever narrower ranges."""
+    found = None
+    for width in RANGES:
+        subs = cut(heavy.mapInArrow(_narrowed(length, anchor, width), _NARROW_SQL))
+        kinds = subs.groupBy("core", "sub").agg(F.first("windows").alias("windows"), F.sum("copies").alias("copies"), F.first("text").alias("text"))
+        cores = kinds.groupBy("core").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum("copies").alias("n")).where("n > 1")
+        sized = cut(kinds.join(cores.select("core", "bytes"), "core"))
+        light = sized.where(F.col("bytes") <= index_bytes) if width > 1 else sized.where("copies > 1")
+        packs = max(1, -(-(light.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // index_bytes))
+        if width > 1:
+            hits = light.withColumn("pack", F.pmod(F.xxhash64("core"), F.lit(packs))).groupBy("pack").applyInPandas(_search_ranges(length, index_bytes), "core binary, sub binary, first array<int>, last array<int>")
+        else:
+            hits = light.select("core", "sub", F.array(F.lit(0)).alias("first"), F.array(F.lit(1)).alias("last"))
+        shifted = subs.join(hits, ["core", "sub"]).select("anchor", "segment", F.transform("first", lambda x: x + F.col("at")).alias("first"), F.transform("last", lambda x: x + F.col("at")).alias("last"))
+        found = shifted if found is None else found.union(shifted)
+        rest = sized.where(F.col("bytes") > index_bytes).select("core").distinct()
+        if width == 1 or rest.isEmpty():
+            break
+        again = subs.join(rest, "core", "left_semi").select("anchor", "segment").distinct()
+        tops = heavy.select("piece", F.explode(F.arrays_zip("anchors", "segments", "starts", "windows", "copies")).alias("x")).join(again, (F.col("x.anchors") == F.col("anchor")) & (F.col("x.segments") == F.col("segment")), "left_semi")
+        heavy = cut(tops.select("piece", *[F.array(F.col(f"x.{c}")).alias(c) for c in ("anchors", "segments", "starts", "windows", "copies")]))
+    return found.groupBy("anchor", "segment").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
 
 
 def cover(first: list[int], last: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,10 +296,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     asked = asked.groupBy("want", "want_hash").agg(F.collect_list("x").alias("asked"))
     pieces = cut(rows.select("key", "text", "hash").join(asked, (F.col("key") == F.col("want")) & (F.col("hash") == F.col("want_hash"))).select(F.col("key").alias("doc_id"), "hash", "text", "asked").mapInArrow(_pieces(length), _PIECE_SQL))
     found = pieces.where("pack >= 0").groupBy("pack").applyInPandas(_search(length, index_bytes), "anchor long, segment long, first array<int>, last array<int>")
-    digests = pieces.where("pack < 0").dropDuplicates(["doc_id", "hash", "start", "part"]).mapInArrow(_digests(length), "anchor long, segment long, at long, copies long, digest binary")
-    twice = digests.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest")
-    exact = digests.join(twice, "digest").groupBy("anchor", "segment").agg(F.sort_array(F.collect_set(F.col("at").cast("int"))).alias("first")).select("anchor", "segment", "first", F.transform("first", lambda x: x + 1).alias("last"))
-    repeats = seen.join(found.union(exact), ["anchor", "segment"]).select("doc_id", "hash", F.struct(F.transform("first", lambda x: x + F.col("start")).alias("first"), F.transform("last", lambda x: x + F.col("start")).alias("last")).alias("r"))
+    heavy = pieces.where("pack < 0").dropDuplicates(["doc_id", "hash", "start", "part"])
+    if not heavy.isEmpty():
+        found = found.union(_heavy_repeats(heavy, length, anchor, index_bytes))
+    repeats = seen.join(found, ["anchor", "segment"]).select("doc_id", "hash", F.struct(F.transform("first", lambda x: x + F.col("start")).alias("first"), F.transform("last", lambda x: x + F.col("start")).alias("last")).alias("r"))
     repeats = repeats.groupBy(F.col("doc_id").alias("own"), F.col("hash").alias("own_hash")).agg(F.collect_list("r").alias("repeats"))
     joined = rows.join(repeats, (F.col("key") == F.col("own")) & (F.col("hash") == F.col("own_hash")), "left")
     return joined.select("doc_id", "text", "repeats").mapInArrow(_remove(length), _REMOVED_SQL)
@@ -240,4 +307,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 def op4_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What 400-byte repeats leave of all documents."""
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.array_join("spans", ",").alias("spans"))

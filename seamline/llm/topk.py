@@ -70,6 +70,7 @@ def top_k(vectors: DataFrame, every: int, k: int = K, scale: int = 64, id_col: s
     Components become floor(scale * x). Null ids or vectors, and vectors with a null or non-finite
     component, take no part; shorter vectors count as padded with zeros. Rows that repeat an id are
     candidates each (never of their own id) and one query together. Ties go to the smaller id.
+    Scores are 64-bit sums: components beyond about 2**28 after scaling may wrap round.
     """
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"))

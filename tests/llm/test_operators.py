@@ -32,6 +32,19 @@ def test_repeats_of_an_anchor_beyond_an_index(spark):
     same([(r.doc_id, r.n_removed, r.kept_sha256) for r in got], [(d[0], w[1], w[3]) for d, w in zip(data.rows(), want, strict=True)])
 
 
+@pytest.mark.parametrize("index_bytes", [300, 5_000, 2_000_000])
+def test_repeats_of_four_hundred_bytes_with_a_passage_everywhere(spark, index_bytes):
+    """A passage that all texts hold in contexts that differ, equal or near: more text than small indexes take."""
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    passage, short, sides = make(520), make(390), [make(150) for _ in range(4)]
+    rows = [(i, f"{make(rng.randint(50, 600))}{rng.choice(sides)}{passage if i % 3 else short}{rng.choice(sides)}{make(rng.randint(50, 600))}", "en", "s") for i in range(120)] + [(500, make(2000) * 2, "en", "s")]
+    got = dedup.remove_repeats(data.frame(spark, rows), index_bytes=index_bytes).collect()
+    want = brute.removed_bytes([r[1] for r in rows], 400)
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], [(d[0], *w) for d, w in zip(rows, want, strict=True)])
+    assert all(sum(int(b) - int(a) for a, b in (x.split(":") for x in r.spans)) == r.n_removed for r in got)
+
+
 def test_repeats_of_homes_that_alternate_in_a_text(spark):
     rng = random.Random(3)
     parts = ["".join(rng.choices("abcdefgh ", k=30)) for _ in range(40)]
