@@ -13,13 +13,18 @@ def lit(m: np.ndarray) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in m])
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def rows_of(pixels: Column, width: int) -> Column:
     """The rows of a flat image."""
     return F.transform(F.sequence(F.lit(0), (F.size(pixels) / width).cast("int") - 1), lambda i: F.slice(pixels, i * width + 1, width))
 
 
 def transposed(m: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(F.get(m, F.lit(0)))), lambda j: F.transform(m, lambda r: F.element_at(r, j)))
+    return let(m, lambda v: F.transform(F.sequence(F.lit(1), F.size(F.get(v, F.lit(0)))), lambda j: F.transform(v, lambda r: F.element_at(r, j))))
 
 
 def times(m: Column, right: np.ndarray) -> Column:
@@ -41,14 +46,9 @@ def flat(m: Column) -> Column:
     return F.flatten(m)
 
 
-def mean(m: Column) -> Column:
-    return F.aggregate(F.flatten(m), F.lit(0.0), lambda acc, x: acc + x) / F.size(F.flatten(m))
-
-
 def top_mean(values: Column, k: int) -> Column:
     """Mean of the k greatest of an array."""
-    top = F.slice(F.sort_array(values, asc=False), 1, k)
-    return F.aggregate(top, F.lit(0.0), lambda acc, x: acc + x) / F.size(top)
+    return let(F.slice(F.sort_array(values, asc=False), 1, k), lambda top: F.aggregate(top, F.lit(0.0), lambda acc, x: acc + x) / F.size(top))
 
 
 def bilinear(n: int, out: int) -> np.ndarray:
@@ -99,12 +99,15 @@ def spectrum(m: Column, n: int) -> Column:
 def ssim_map(a: Column, b: Column, window: np.ndarray) -> Column:
     """Structural similarity at each pixel, with means and variances under a smoothing window."""
     c1, c2 = 6.5025, 58.5225  # fixed values: (0.01 * 255)^2 and (0.03 * 255)^2
-    smooth = lambda m: separable(m, window, window)
+    smooth = lambda m: F.flatten(separable(m, window, window))
     product = lambda x, y: both(x, y, lambda p, q: p * q)
-    parts = F.arrays_zip(*[F.flatten(smooth(m)).alias(n) for n, m in (("a", a), ("b", b), ("aa", product(a, a)), ("bb", product(b, b)), ("ab", product(a, b)))])
 
     def at(p: Column) -> Column:
         x, y = p["a"], p["b"]
         return (2 * x * y + c1) * (2 * (p["ab"] - x * y) + c2) / ((x * x + y * y + c1) * (p["aa"] - x * x + p["bb"] - y * y + c2))
 
-    return F.transform(parts, at)
+    def of(m: Column) -> Column:
+        x, y = m["a"], m["b"]
+        return F.transform(F.arrays_zip(smooth(x).alias("a"), smooth(y).alias("b"), smooth(product(x, x)).alias("aa"), smooth(product(y, y)).alias("bb"), smooth(product(x, y)).alias("ab")), at)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)

@@ -271,7 +271,7 @@ def event_intervals(spark, sf):
     rows = _t(spark, sf, "events").withColumn("gap", F.col("ts") - before)
     part = lambda unit, n: F.extract(F.lit(unit), "gap").cast("long") * n
     seconds = part("DAY", 86400) + part("HOUR", 3600) + part("MINUTE", 60) + F.floor(F.extract(F.lit("SECOND"), "gap"))
-    return rows.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), seconds.alias("seconds"))
+    return rows.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), seconds.cast("long").alias("seconds"))
 
 
 # Pixels ----------------------------------------------------------------------------------------
