@@ -160,7 +160,7 @@ def test_bpe_over_many_chunks_and_parts(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, long)], "doc_id long, text string"))
     run = lambda: sorted(tuple(r) for r in bpe.encode(docs, str(P.path(bpe.RANKS)), P.PATTERN, ["doc_id"], with_ids=False).collect())
     want = run()
-    for name, value in (("CHUNK_CHARS", 40_000), ("BUCKET_CHUNKS", 3), ("PART_CHUNKS", 4)):
+    for name, value in (("CHUNK_CHARS", 120_000), ("BUCKET_CHUNKS", 3), ("PART_CHUNKS", 4)):
         monkeypatch.setattr(bpe, name, value)
     assert run() == want
     assert want[0][0] == -1 and want[0][3] == hashlib.sha256(long.encode()).hexdigest()
