@@ -5,8 +5,8 @@ the overlaps. To keep the product to rows that can matter, each distinct shingle
 smallest shingle hashes, EXTRA hundredths more than linked sets are bound to share, and of these, the
 rarest in the corpus that suffice for any linked pair to share one. Rows sharing such a column and
 of near enough size are chained into families, linearly in their number. Families are then cut into
-blocks of rows; for each pair of blocks all overlaps are accumulated over the whole sets, and pairs
-under the bound that the two sizes set are discarded. Nothing is lost: the sketch and its rarest
+blocks of rows; for each pair of blocks that share a column all overlaps are accumulated over the whole
+sets, and pairs under the bound that the two sizes set are discarded. Nothing is lost: the sketch and its rarest
 part are exact prefix filters, and whole sets decide.
 """
 
@@ -33,6 +33,8 @@ EXTRA = 10
 ROWS, COUNTED = 512, 1_000_000
 #: Most dropped rows (an id and a hash each) that keep_one broadcasts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Most ends of block pairs (three numbers each) that are broadcast to the sets; more are joined by a shuffle.
+BROADCAST_ENDS = 200_000
 
 
 def need(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -187,36 +189,61 @@ def product(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: in
         yield i, np.flatnonzero(linked)
 
 
-def _cell(num: int, den: int):
+def _cells(num: int, den: int):
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values("node")
-        node, copies, mine = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["mine"].to_numpy()
-        low, high = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        parent = np.arange(len(node))
-        a, b, links = [], [], np.zeros(len(node), np.int64)
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for i, linked in product([np.frombuffer(x, np.uint64) for x in pdf["grams"]], mine == low, mine == high, num, den):
-            links[i] += copies[linked].sum()
-            if low != high:
-                np.add.at(links, linked, copies[i])
-            for k in linked:
-                x, y = find(i), find(k)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    a.append(node[i])
-                    b.append(node[k])
-        some = np.flatnonzero(links)
-        return pd.DataFrame({"a": np.r_[np.array(a, np.int64), node[some]], "b": np.r_[np.array(b, np.int64), node[some]], "links": np.r_[np.zeros(len(a), np.int64), links[some]]})
+        out = [_cell(i, j, cell.drop_duplicates("node").sort_values("node"), num, den) for (i, j), cell in pdf.groupby(["i", "j"])]
+        return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "links"], dtype=np.int64)
 
     return multiply
 
 
+def _cell(low: int, high: int, pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Links of block ``low`` with block ``high``: a forest of them (a, b, 0), and how many rows each node is linked with (node, node, links)."""
+    node, copies, block = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
+    parent = np.arange(len(node))
+    a, b, links = [], [], np.zeros(len(node), np.int64)
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, linked in product([np.frombuffer(x, np.uint64) for x in pdf["grams"]], block == low, block == high, num, den):
+        links[i] += copies[linked].sum()
+        if low != high:
+            np.add.at(links, linked, copies[i])
+        for k in linked:
+            x, y = find(i), find(k)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                a.append(node[i])
+                b.append(node[k])
+    some = np.flatnonzero(links)
+    return pd.DataFrame({"a": np.r_[np.array(a, np.int64), node[some]], "b": np.r_[np.array(b, np.int64), node[some]], "links": np.r_[np.zeros(len(a), np.int64), links[some]]})
+
+
+def family_blocks(columns: DataFrame, family: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of rows, (node, block), and the pairs of blocks to multiply where a family takes more than one, (i, j).
+
+    A family of at most ``rows`` nodes is one block, multiplied by itself. In a larger one the nodes whose most
+    shared column is the same make a block, dealt on by hash beyond ``rows``, and only blocks that hold a common
+    column within neighbouring size bands are multiplied: a chain of many small groups costs as many cells as it has links.
+    """
+    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+    placed = family.join(size, "family")
+    held = cut(columns.join(placed.where(F.col("m") > rows), "node").select("gram", "band", "node", "family"))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
+    home = held.join(often, "gram").groupBy("node", "family").agg(F.max(F.struct("k", "gram")).getField("gram").alias("home"))
+    share = home.groupBy("family", "home").agg(F.ceil(F.count(F.lit(1)) / rows).alias("shares"))
+    block = F.xxhash64("family", "home", F.pmod(F.xxhash64("node"), F.col("shares")))
+    large = cut(home.join(share, ["family", "home"]).select("node", block.alias("block")))
+    at = held.join(large, "node").select("gram", "band", "block").distinct()
+    near = at.select("gram", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("block").alias("other"))
+    pairs = at.join(near, ["gram", "band"]).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
+    return placed.where(F.col("m") <= rows).select("node", F.col("family").alias("block")).union(large), pairs
+
+
 def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each of ``docs``: doc_id, hash (of the text), n, key, root (null where the set is empty), component_id and first_hash (the row that stands for the group), n_links."""
     bound_batches(docs)
@@ -236,14 +263,21 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
     steps = heads.select("gram", (F.col("band") + 1).alias("band"), F.col("head").alias("below"))
     chains = columns.join(heads.where("k > 1"), ["gram", "band"]).select(F.col("node").alias("a"), F.col("head").alias("b")).union(heads.join(steps, ["gram", "band"]).select("head", "below"))
     family = components(chains).select("node", F.col("root").alias("family"))
-    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    packs = max(1, -(-family.count() // ROWS))
-    placed = family.join(size, "family").withColumn("parts", F.ceil(F.col("m") / ROWS).cast("int")).withColumn("pack", F.when(F.col("parts") == 1, -1 - F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.col("family"))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    wanted = placed.join(classes, "node").select("node", "pack", "parts", "mine", "copies", "key", F.col("doc_id").alias("want"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("text", "node", "pack", "parts", "mine", "copies", "key")
-    whole = texts.mapInArrow(_whole_sets(width), "node long, pack long, parts int, mine int, copies long, key binary, own binary, grams binary").where("key = own")
-    cells = whole.select("node", "pack", "mine", "copies", "grams", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("node", "pack", "mine", "copies", "grams", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    links = cut(cells.groupBy("pack", "i", "j").applyInPandas(_cell(num, den), "a long, b long, links long"))
+    placed, pairs = family_blocks(columns, family, ROWS)
+    placed, pairs = cut(placed), cut(pairs)
+    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    ends = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    sent = ends.join(sizes, "block").agg(F.count(F.lit(1)), F.sum("m")).first()
+    packs = max(1, -(-(placed.count() + (sent[1] or 0)) // ROWS))
+    wanted = placed.join(classes, "node").select("node", "block", "copies", "key", F.col("doc_id").alias("want"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("text", "node", "block", "copies", "key")
+    whole = texts.mapInArrow(_whole_sets(width), "node long, block long, copies long, key binary, own binary, grams binary").where("key = own")
+    if sent[0]:
+        whole = whole.join(F.broadcast(ends) if sent[0] <= BROADCAST_ENDS else ends, "block", "left")
+    else:
+        whole = whole.withColumns({"i": F.col("block"), "j": F.col("block")})
+    cells = whole.select("node", "block", "copies", "grams", F.coalesce("i", "block").alias("i"), F.coalesce("j", "block").alias("j"))
+    links = cut(cells.groupBy(F.pmod(F.xxhash64("i", "j"), F.lit(packs)).alias("pack")).applyInPandas(_cells(num, den), "a long, b long, links long"))
     roots = components(links.where("a <> b").select("a", "b"))
     counts = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     known = classes.join(roots, "node", "left").join(counts, "node", "left").select("key", "doc_id", "hash", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
