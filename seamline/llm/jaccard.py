@@ -224,24 +224,25 @@ def _cell(low: int, high: int, pdf: pd.DataFrame, num: int, den: int) -> pd.Data
 
 
 def family_blocks(columns: DataFrame, family: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of rows, (node, block), and the pairs of blocks to multiply where a family takes more than one, (i, j).
+    """Blocks of rows, (node, block), and the pairs of different blocks to multiply, (i, j).
 
-    A family of at most ``rows`` nodes is one block, multiplied by itself. In a larger one the nodes whose most
-    shared column is the same make a block, dealt on by hash beyond ``rows``, and only blocks that hold a common
-    column within neighbouring size bands are multiplied: a chain of many small groups costs as many cells as it has links.
+    A family of at most ``rows`` nodes is one block, multiplied by itself alone. A larger one has as many blocks as hold
+    ``rows`` each: nodes whose most shared column is the same lie in one, or in neighbouring ones where they are more.
+    Blocks are multiplied if they hold a common column within neighbouring size bands, so that cells grow with the
+    links of a chain of many groups, not with the square of its length.
     """
     size = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    placed = family.join(size, "family")
-    held = cut(columns.join(placed.where(F.col("m") > rows), "node").select("gram", "band", "node", "family"))
-    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
-    home = held.join(often, "gram").groupBy("node", "family").agg(F.max(F.struct("k", "gram")).getField("gram").alias("home"))
-    share = home.groupBy("family", "home").agg(F.ceil(F.count(F.lit(1)) / rows).alias("shares"))
-    block = F.xxhash64("family", "home", F.pmod(F.xxhash64("node"), F.col("shares")))
-    large = cut(home.join(share, ["family", "home"]).select("node", block.alias("block")))
-    at = held.join(large, "node").select("gram", "band", "block").distinct()
+    often = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
+    home = columns.join(often, "gram").groupBy("node").agg(F.max(F.struct("k", "gram")).alias("home"))
+    parts = F.ceil(F.col("m") / rows)
+    shares = F.least(F.ceil(F.col("home.k") / rows), parts)
+    part = F.pmod(F.pmod(F.xxhash64("home.gram"), parts) + F.pmod(F.xxhash64("node"), shares), parts)
+    block = F.when(F.col("m") <= rows, F.col("family")).otherwise(F.xxhash64("family", part))
+    placed = cut(family.join(size, "family").join(home, "node").select("node", block.alias("block")))
+    at = columns.join(placed, "node").select("gram", "band", "block").distinct()
     near = at.select("gram", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("block").alias("other"))
-    pairs = at.join(near, ["gram", "band"]).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
-    return placed.where(F.col("m") <= rows).select("node", F.col("family").alias("block")).union(large), pairs
+    pairs = at.join(near, ["gram", "band"]).where("block <> other").select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
+    return placed, cut(pairs)
 
 
 def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -264,15 +265,16 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
     chains = columns.join(heads.where("k > 1"), ["gram", "band"]).select(F.col("node").alias("a"), F.col("head").alias("b")).union(heads.join(steps, ["gram", "band"]).select("head", "below"))
     family = components(chains).select("node", F.col("root").alias("family"))
     placed, pairs = family_blocks(columns, family, ROWS)
-    placed, pairs = cut(placed), cut(pairs)
     sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
-    ends = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    sent = ends.join(sizes, "block").agg(F.count(F.lit(1)), F.sum("m")).first()
+    mixed = pairs.select(F.explode(F.array("i", "j")).alias("block"), "i", "j")
+    sent = mixed.join(sizes, "block").agg(F.count(F.lit(1)), F.sum("m")).first()
     packs = max(1, -(-(placed.count() + (sent[1] or 0)) // ROWS))
     wanted = placed.join(classes, "node").select("node", "block", "copies", "key", F.col("doc_id").alias("want"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("text", "node", "block", "copies", "key")
     whole = texts.mapInArrow(_whole_sets(width), "node long, block long, copies long, key binary, own binary, grams binary").where("key = own")
     if sent[0]:
+        alone = mixed.select("block").distinct().select("block", F.col("block").alias("i"), F.col("block").alias("j"))
+        ends = mixed.union(alone)
         whole = whole.join(F.broadcast(ends) if sent[0] <= BROADCAST_ENDS else ends, "block", "left")
     else:
         whole = whole.withColumns({"i": F.col("block"), "j": F.col("block")})
