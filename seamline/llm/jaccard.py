@@ -31,6 +31,8 @@ from .textblock import blocks
 EXTRA = 10
 #: Rows of a block of the product, and shingle fingerprints that one task counts.
 ROWS, COUNTED = 512, 1_000_000
+#: Grades of set size in one step of the largest ratio that linked sets have: these are up to GRADES grades apart.
+GRADES = 4
 #: Most dropped rows (an id and a hash each) that keep_one broadcasts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -236,13 +238,20 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
     steps = heads.select("gram", (F.col("band") + 1).alias("band"), F.col("head").alias("below"))
     chains = columns.join(heads.where("k > 1"), ["gram", "band"]).select(F.col("node").alias("a"), F.col("head").alias("b")).union(heads.join(steps, ["gram", "band"]).select("head", "below"))
     family = components(chains).select("node", F.col("root").alias("family"))
-    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    packs = max(1, -(-family.count() // ROWS))
-    placed = family.join(size, "family").withColumn("parts", F.ceil(F.col("m") / ROWS).cast("int")).withColumn("pack", F.when(F.col("parts") == 1, -1 - F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.col("family"))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    wanted = placed.join(classes, "node").select("node", "pack", "parts", "mine", "copies", "key", F.col("doc_id").alias("want"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("text", "node", "pack", "parts", "mine", "copies", "key")
-    whole = texts.mapInArrow(_whole_sets(width), "node long, pack long, parts int, mine int, copies long, key binary, own binary, grams binary").where("key = own")
-    cells = whole.select("node", "pack", "mine", "copies", "grams", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("node", "pack", "mine", "copies", "grams", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    grade = F.floor(F.log("n") / F.log(F.lit(den / num) * (1 + 1e-9)) * GRADES).cast("long")
+    sized = cut(family.join(classes, "node").withColumn("grade", grade))
+    packs = max(1, -(-sized.count() // ROWS))
+    ordered = Window.partitionBy("family").orderBy("grade")  # a row for each grade: some hundreds at most
+    spans = sized.groupBy("family", "grade").agg(F.count(F.lit(1)).alias("m")).withColumn("end", F.sum("m").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    near = ordered.rangeBetween(-GRADES, GRADES)
+    spans = spans.select("family", "grade", "m", (F.col("end") - F.col("m")).alias("start"), F.min(F.col("end") - F.col("m")).over(near).alias("low"), F.max("end").over(near).alias("high"), F.sum("m").over(Window.partitionBy("family")).alias("all"))
+    one = F.col("all") <= ROWS
+    spread = F.col("start") + F.pmod(F.xxhash64("node"), F.col("m"))
+    placed = sized.join(spans, ["family", "grade"]).withColumn("pack", F.when(one, -1 - F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.col("family")))
+    wanted = placed.select("node", "pack", *[F.when(one, 0).otherwise(F.floor(x / ROWS)).cast("int").alias(name) for name, x in (("mine", spread), ("low", F.col("low")), ("high", F.col("high") - 1))], "copies", "key", F.col("doc_id").alias("want"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("text", "node", "pack", "low", "high", "mine", "copies", "key")
+    whole = texts.mapInArrow(_whole_sets(width), "node long, pack long, low int, high int, mine int, copies long, key binary, own binary, grams binary").where("key = own")
+    cells = whole.select("node", "pack", "mine", "copies", "grams", F.explode(F.sequence("low", "high")).alias("other")).select("node", "pack", "mine", "copies", "grams", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     links = cut(cells.groupBy("pack", "i", "j").applyInPandas(_cell(num, den), "a long, b long, links long"))
     roots = components(links.where("a <> b").select("a", "b"))
     counts = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -90,7 +90,8 @@ def test_jaccard_of_families_beyond_a_block(spark, monkeypatch, rows):
     words = [f"w{k}" for k in range(400)]
     chain = [(1000 + k, " ".join(words[3 * k : 3 * k + 60]), "en", "s") for k in range(40)]
     alike = [(2000 + k, " ".join([*words[300:], f"end{k}", *(["and"] * (k % 4))]), "en", "s") for k in range(12)]
-    given = [*data.rows(), *chain, *alike, *alike[:3]]
+    grown = [(3000 + k, " ".join(words[100 : 130 + 3 * k]), "en", "s") for k in range(50)]  # one family of sizes from 27 to 174
+    given = [*data.rows(), *chain, *alike, *alike[:3], *grown]
     got = jaccard.jaccard_join(data.frame(spark, given)).collect()
     want = brute.jaccard_components([r[:2] for r in given], 4, 85, 100)
     same([(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got], [(d[0], *w) for d, w in zip(given, want, strict=True)])
