@@ -1,7 +1,7 @@
 """Chat formatting with cumulative-snapshot collapse.
 
-A conversation's turns are hashed one after the other into its prefix hashes: the hash after k
-turns stands for the first k turns. A logged conversation is a snapshot if its last hash is the
+Each turn is hashed with its place, and the running sums of a conversation's turn hashes are its prefix
+hashes: the sum after k turns stands for the first k turns. A logged conversation is a snapshot if its last hash is the
 hash of as many turns of a longer one; an anti-join drops those, one of equal conversations stays,
 and only the maximal ones are rendered. All of it is DataFrame expressions.
 """
@@ -10,22 +10,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, table
 
 #: How a turn is written, and a conversation's end.
 TURN, END = "<|{role}|>\n{text}\n", "<|end|>"
+#: A turn's hash is summed as this many numbers of 32 bits.
+LIMBS = 4
 
 
-def _prefixes(turns: Column) -> Column:
-    """The rolling hash after each turn."""
+def _limbs(place: Column, role: Column, text: Column) -> list[Column]:
+    """Hash of a turn at its place, as LIMBS numbers."""
+    digest = F.sha2(F.concat_ws("|", place.cast("string"), _part(role), _part(text)), 256)
+    return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(LIMBS)]
 
-    def step(acc: Column, t: Column) -> Column:
-        before = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(""))
-        part = F.sha2(F.concat_ws("|", before, _part(t["role"]), _part(t["text"])), 256)
-        return F.concat(acc, F.array(part))
 
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+def _prefixes(turns: DataFrame) -> DataFrame:
+    """conv_id, place (from 1), role, text, hash (of the turns so far), last: a row for each turn."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    names = [f"h{i}" for i in range(LIMBS)]
+    placed = turns.select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(order))
+    hashed = placed.select("*", *[h.alias(n) for n, h in zip(names, _limbs(F.col("place"), F.col("role"), F.col("text")), strict=True)])
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = F.array(*[F.pmod(F.sum(n).over(so_far), F.lit(1 << 32)) for n in names])
+    return hashed.select("conv_id", "place", "role", "text", sums.alias("hash"), F.lead("place").over(order).isNull().alias("last"))
 
 
 def _part(value: Column) -> Column:
@@ -47,17 +56,17 @@ def collapse(turns: DataFrame) -> DataFrame:
     Turns are ordered by turn, then role and text; turn numbers themselves don't count, repeated
     rows are turns each. Of conversations with the same turns the smallest conv_id stays, and
     n_copies counts them. Rows with a null conv_id are one conversation; null roles and texts are
-    values of their own. Other columns play no part. Empty input gives an empty result. One
-    conversation is held in one row, as its rendering is; copies and common beginnings of many are
+    values of their own. Other columns play no part. Empty input gives an empty result. One kept
+    conversation is held in one row, as its rendering is; hashes are sums over sorted rows, linear in the turns. Copies and common beginnings of many are
     reduced to distinct hashes before they meet.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    whole = cut(turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(ordered.alias("turns")).withColumn("prefixes", _prefixes(F.col("turns"))))
-    last = whole.select("conv_id", F.size("turns").alias("n_turns"), F.element_at("prefixes", -1).alias("hash"))
-    distinct = last.groupBy("hash", "n_turns").agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("least"), F.count(F.lit(1)).alias("n_copies"))
-    inner = whole.select(F.explode(F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)).alias("hash")).distinct()
-    maximal = distinct.join(inner, "hash", "left_anti").select(F.col("least.conv_id").alias("keep"), "n_copies")
-    return whole.join(maximal, F.col("conv_id").eqNullSafe(F.col("keep"))).select("conv_id", F.size("turns").alias("n_turns"), "n_copies", rendered(F.col("turns")).alias("rendered"))
+    rows = cut(_prefixes(turns))
+    distinct = rows.where("last").groupBy("hash", F.col("place").alias("n_turns")).agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("least"), F.count(F.lit(1)).alias("n_copies"))
+    inner = rows.where("not last").select("hash").distinct()
+    maximal = distinct.join(inner, "hash", "left_anti").select(F.col("least.conv_id").alias("keep"), "n_turns", "n_copies")
+    kept = rows.join(maximal, F.col("conv_id").eqNullSafe(F.col("keep")))
+    whole = kept.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+    return whole.select("conv_id", "n_turns", "n_copies", rendered(F.col("turns")).alias("rendered"))
 
 
 def op8_snapshot_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from seamline.llm import bpe, chat, dedup, jaccard, mixing, pii, quality, secrets, sharding, topk
 
@@ -288,6 +289,18 @@ def test_chat(spark):
     assert got[1].rendered == "<|user|>\na\n<|bot|>\nb\n<|end|>" and got[4].rendered == "<|user|>\n\n<|end|>"
 
 
+@pytest.mark.parametrize("turns", [511, 512, 513, 30_000])
+def test_chat_of_very_long_conversations(spark, turns):
+    long = spark.range(turns).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    begun = long.where(F.col("turn") < turns - 1).withColumn("conv_id", F.lit(3).cast("long"))
+    other = long.withColumn("conv_id", F.lit(1).cast("long")).withColumn("text", F.when(F.col("turn") == turns - 2, "else").otherwise(F.col("text")))
+    got = {r.conv_id: r for r in chat.collapse(long.union(begun).union(other).union(long)).collect()}
+    assert sorted(got) == [1, 3, 7] and got[7].n_turns == 2 * turns  # 7's turns are there twice, so that 3 doesn't begin it
+    got = {r.conv_id: r for r in chat.collapse(long.union(begun).union(other)).collect()}
+    assert sorted(got) == [1, 7] and got[7].n_turns == turns
+    assert got[7].rendered == "".join(f"<|user|>\nt{k}\n" for k in range(turns)) + "<|end|>"
+
+
 def test_surrogates(spark):
     got = pii.surrogates(data.frame(spark)).collect()
     assert len(got) == len(data.rows())
