@@ -63,10 +63,10 @@ def collapse(turns: DataFrame) -> DataFrame:
     rows = cut(_prefixes(turns))
     distinct = rows.where("last").groupBy("hash", F.col("place").alias("n_turns")).agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("least"), F.count(F.lit(1)).alias("n_copies"))
     inner = rows.where("not last").select("hash").distinct()
-    maximal = distinct.join(inner, "hash", "left_anti").select(F.col("least.conv_id").alias("keep"), "n_turns", "n_copies")
-    kept = rows.join(maximal, F.col("conv_id").eqNullSafe(F.col("keep")))
-    whole = kept.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
-    return whole.select("conv_id", "n_turns", "n_copies", rendered(F.col("turns")).alias("rendered"))
+    maximal = distinct.join(inner, "hash", "left_anti").select(F.struct("least.conv_id").alias("key"), "n_turns", "n_copies")
+    kept = rows.withColumn("key", F.struct("conv_id")).join(maximal, "key")  # a struct is never null: joined and grouped by one partitioning
+    whole = kept.groupBy("key").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+    return whole.select("key.conv_id", "n_turns", "n_copies", rendered(F.col("turns")).alias("rendered"))
 
 
 def op8_snapshot_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

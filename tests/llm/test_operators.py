@@ -283,9 +283,9 @@ def test_top_k(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (4, 0, "user", None), (5, 0, None, "z"), (5, 0, None, "z")]
+    rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (4, 0, "user", None), (5, 0, None, "z"), (5, 0, None, "z"), (None, 0, "user", "n")]
     got = {r.conv_id: r for r in chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert sorted(got) == [1, 4, 5] and got[1].n_copies == 2 and got[5].n_turns == 2
+    assert sorted(got, key=str) == [1, 4, 5, None] and got[1].n_copies == 2 and got[5].n_turns == 2
     assert got[1].rendered == "<|user|>\na\n<|bot|>\nb\n<|end|>" and got[4].rendered == "<|user|>\n\n<|end|>"
 
 
