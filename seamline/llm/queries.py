@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, dedup, jaccard, mixing, pii, quality, secrets, sharding, topk
+from . import bpe, chat, dedup, jaccard, mixing, pii, planes, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_snapshot_chat": chat.op8_snapshot_chat,
     "op9_taat_topk": topk.op9_taat_topk,
     "op10_markov_secrets": secrets.op10_markov_secrets,
+    "op12_bit_plane_ids": planes.op12_bit_plane_ids,
 }
 SQL = {"op8_snapshot_chat": chat.OP8_SQL, "op9_taat_topk": topk.OP9_SQL}
