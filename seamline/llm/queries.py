@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, dedup, jaccard, mixing, pii, planes, quality, secrets, sharding, topk
+from . import bpe, chat, dedup, jaccard, lexical, mixing, pii, planes, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_taat_topk": topk.op9_taat_topk,
     "op10_markov_secrets": secrets.op10_markov_secrets,
     "op12_bit_plane_ids": planes.op12_bit_plane_ids,
+    "op13_threshold_seeded_search": lexical.op13_threshold_seeded_search,
 }
-SQL = {"op8_snapshot_chat": chat.OP8_SQL, "op9_taat_topk": topk.OP9_SQL}
+SQL = {"op8_snapshot_chat": chat.OP8_SQL, "op9_taat_topk": topk.OP9_SQL, "op13_threshold_seeded_search": lexical.OP13_SQL}
