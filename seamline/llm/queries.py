@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, dedup, jaccard, lexical, mixing, pii, planes, quality, secrets, sharding, topk
+from . import bpe, chat, dedup, jaccard, lexical, mixing, phrases, pii, planes, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_snapshot_chat": chat.op8_snapshot_chat,
     "op9_taat_topk": topk.op9_taat_topk,
     "op10_markov_secrets": secrets.op10_markov_secrets,
+    "op11_pair_naming_phrases": phrases.op11_pair_naming_phrases,
     "op12_bit_plane_ids": planes.op12_bit_plane_ids,
     "op13_threshold_seeded_search": lexical.op13_threshold_seeded_search,
 }
-SQL = {"op8_snapshot_chat": chat.OP8_SQL, "op9_taat_topk": topk.OP9_SQL, "op13_threshold_seeded_search": lexical.OP13_SQL}
+SQL = {"op8_snapshot_chat": chat.OP8_SQL, "op9_taat_topk": topk.OP9_SQL, "op11_pair_naming_phrases": phrases.OP11_SQL, "op13_threshold_seeded_search": lexical.OP13_SQL}
