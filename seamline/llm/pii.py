@@ -33,7 +33,7 @@ _FIRST = "A-ZÀ-ÞΑ-ΩА-Яκ"
 _WORD = r"(?:\p{Lu}[\p{L}'-]+|\p{Lo}[\p{L}\p{M}'-]*)"
 #: Patterns by kind, in the order in which they are tried at a place; a look at the first character saves time.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": r"(?=[A-Z])(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -129,11 +129,11 @@ def _titled(match: Column, names: Column) -> Column:
 def _letters(canon: Column, digest: Column, skip: int = 0) -> Column:
     """Each letter and digit after the first ``skip`` characters replaced by one of its class."""
 
-    def one(i: Column) -> Column:
-        c, v = F.substring(canon, i + 1, F.lit(1)), _draw(digest, i)
+    def one(c: Column, i: Column) -> Column:
+        v = _draw(digest, i)
         return F.when(i < skip, c).when(c.rlike("[a-z]"), _at(_LOWER, v)).when(c.rlike("[A-Z]"), _at(_UPPER, v)).when(c.rlike("[0-9]"), _at(_DIGITS, v)).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.length(canon) - 1), one), "")
+    return F.when(F.length(canon) > 0, F.array_join(F.transform(F.split(canon, ""), one), "")).otherwise("")
 
 
 def _name(kind: Column, digest: Column, attempt: Column) -> Column:
@@ -263,7 +263,7 @@ def surrogates(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataF
     texts = hit.where(F.size("found") > 0).select("row", "found").dropDuplicates(["row"])
     said = texts.select("row", F.posexplode("found").alias("at", "x")).select("row", "at", "x.match", "x.bare").join(table_of, "match").withColumn("new", F.when(F.col("bare"), F.regexp_replace("new", r"^\S+ ", "")).otherwise(F.col("new")))
     words = said.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("new"))
-    built = F.array_join(F.transform("between", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new.new"), i), F.lit("")))), "")
+    built = F.array_join(F.transform("between", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new"), i)["new"], F.lit("")))), "")
     changed = hit.join(words, "row", "left").select("whole", built.alias("text"), F.size("found").alias("n"))
     column = lambda c: F.col("text") if c == text_col else F.col("whole").getField(c)
     out = changed.select(*[column(c).alias(c) for c in docs.columns], F.col("n").alias("n_entities"))
