@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamline.functions.matrices import let
+
 from .common import table
 
 #: The base kinds in their order with their patterns. A kind's last number is the least length of
@@ -53,22 +55,45 @@ BACKOFF, EVEN = 20.0, 0.1
 MASK = "<SECRET>"
 _SPAN = "array<struct<s:int,e:int>>"
 _SPANS = "array<struct<s:int,i:int,e:int,k:string>>"
+_TOLD = "array<struct<s:int,i:int,e:int,k:string,m:string>>"
+
+
+#: Matches whose places are summed up together, bits of a search in a sorted array, characters of a block of text.
+RUN, HALVINGS, BLOCK = 64, 31, 1024
+
 
+def find(text: Column, kind: str, order: int, pattern: str, group: int, least: int, with_text: bool = False) -> Column:
+    """Leftmost matches of ``pattern`` whose ``group`` has ``least`` characters: start, order, end (code points, exclusive), kind, and the match if asked for.
 
-def find(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
-    """Leftmost matches of ``pattern`` whose ``group`` has ``least`` characters: start, order, end (code points, exclusive), kind."""
+    Places are sums of the lengths before. They are summed within runs of RUN matches, and the runs' sums on top,
+    so that many matches in a text don't cost their square.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("p"), matches.alias("m"))
+    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n")))
+
+    def placed(steps: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(steps) - 1) / RUN).cast("int")), lambda i: F.slice(steps, i * RUN + 1, F.lit(RUN)))
+        end = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["e"], F.lit(0))
+        step = lambda acc, x: F.concat(acc, F.array(F.struct((end(acc) + x["gap"]).alias("s"), (end(acc) + x["gap"] + x["n"]).alias("e"))).cast(_SPAN))
+        inside = F.transform(runs, lambda run: F.aggregate(run, F.array().cast(_SPAN), step))
+        starts = lambda inside: F.aggregate(inside, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + end(run))))
+        moved = lambda both: F.flatten(F.transform(both["inside"], lambda run, i: let(F.get(both["starts"], i), lambda at: F.transform(run, lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"))))))
+        return let(inside, lambda inside: let(F.struct(inside.alias("inside"), starts(inside).alias("starts")), moved))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.coalesce(F.get(acc, F.size(acc) - 1)["e"], F.lit(0)) + F.length(x["p"])
-        return F.concat(acc, F.array(F.struct(start.alias("s"), (start + F.length(x["m"])).alias("e"))).cast(_SPAN))
+    at = let(steps, placed)
+    kept = F.filter(F.arrays_zip(at.alias("x"), groups.alias("g"), matches.alias("m")), lambda x: F.length(x["g"]) >= least)
+    found = F.transform(kept, lambda x: F.struct(x["x"]["s"].alias("s"), F.lit(order).alias("i"), x["x"]["e"].alias("e"), F.lit(kind).alias("k"), *([x["m"].alias("m")] if with_text else [])))
+    kind_of_rows = _TOLD if with_text else _SPANS
+    return F.when(F.regexp_like(text, F.lit(pattern)), found.cast(kind_of_rows)).otherwise(F.array().cast(kind_of_rows))
 
-    spans = F.aggregate(steps, F.array().cast(_SPAN), step)
-    kept = F.filter(F.arrays_zip(spans.alias("x"), groups.alias("g")), lambda x: F.length(x["g"]) >= least)
-    found = F.transform(kept, lambda x: F.struct(x["x"]["s"].alias("s"), F.lit(order).alias("i"), x["x"]["e"].alias("e"), F.lit(kind).alias("k")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), found.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
+
+def below(sorted_values: Column, x: Column) -> Column:
+    """How many of a sorted array's values are below x, by halving."""
+    half = lambda acc: F.shiftright(acc["lo"] + acc["hi"], 1)
+    low = lambda acc: F.get(sorted_values, half(acc)) < x
+    step = lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.when(low(acc), F.struct((half(acc) + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), half(acc).alias("hi"))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(F.lit(0).alias("lo"), F.size(sorted_values).alias("hi")), step, lambda acc: acc["lo"])
 
 
 def _as_identifiers(word: Column, h: Column) -> Column:
@@ -110,16 +135,21 @@ def _log_shares(counts: list[list[float]]) -> list[float]:
 
 
 def ratio(token: Column, models: list[list[float]]) -> Column:
-    """Log-likelihood of the best random model over the best ordinary one, along a token."""
-    best = lambda some: F.greatest(*(_along(token, w) for w in some))
-    return best(models[ORDINARY:]) - best(models[:ORDINARY])
+    """Log-likelihood of the best random model over the best ordinary one, along a token. Its pairs are looked up once for all models."""
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) - FIRST)
+    pairs = let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: x * SIZE + y))
+
+    def score(pairs: Column) -> Column:
+        best = lambda some: F.greatest(*(_along(pairs, w) for w in some))
+        return best(models[ORDINARY:]) - best(models[:ORDINARY])
 
+    return let(pairs, score)
 
-def _along(token: Column, weights: list[float]) -> Column:
+
+def _along(pairs: Column, weights: list[float]) -> Column:
     """Sum of a model's logarithms over the pairs of a token."""
     model = F.split(F.lit(",".join(f"{x:.4f}" for x in weights)), ",").cast("array<double>")
-    code = lambda at: F.ascii(F.substring(token, at, F.lit(1))) - FIRST
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, at: acc + F.get(model, code(at) * SIZE + code(at + 1)))
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.get(model, x))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,15 +162,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     models = train(docs, id_col, text_col)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = F.array_sort(F.concat(*(find(text, k, i, *rule) for i, (k, rule) in enumerate(KINDS.items()))))
-    judged = find(text, MARKOV, len(KINDS), TOKEN, 0, LEAST_TOKEN)
+    judged = find(text, MARKOV, len(KINDS), TOKEN, 0, LEAST_TOKEN, with_text=True)
 
     def random(x: Column) -> Column:
-        token = F.regexp_replace(F.substring(text, x["s"] + 1, x["e"] - x["s"]), UUID, "")
-        apart = ~F.exists(F.col("base"), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-        score = ratio(token, models)
-        return apart & (F.length(token) >= LEAST_TOKEN) & (score >= RATIO) & (score >= RATIO_PER_CHAR * F.length(token))
+        scored = lambda token: (F.length(token) >= LEAST_TOKEN) & let(ratio(token, models), lambda score: (score >= RATIO) & (score >= RATIO_PER_CHAR * F.length(token)))
+        return F.coalesce(let(F.regexp_replace(x["m"], UUID, ""), scored), F.lit(False))
+
+    def apart(found: Column) -> Column:
+        """Those that no base span overlaps: as many base spans begin before their end as end by their start."""
+        bounds = F.struct(F.array_sort(F.transform("base", lambda y: y["s"])).alias("s"), F.array_sort(F.transform("base", lambda y: y["e"])).alias("e"))
+        return let(bounds, lambda b: F.filter(found, lambda x: below(b["s"], x["e"]) == below(b["e"], x["s"] + 1)))
 
-    return docs.withColumn("base", base).withColumn("found", judged).withColumn("found", F.array_sort(F.concat("base", F.filter("found", random))))
+    secret = F.transform(apart(F.filter("found", random)), lambda x: F.struct(x["s"].alias("s"), x["i"].alias("i"), x["e"].alias("e"), x["k"].alias("k"))).cast(_SPANS)
+    return docs.withColumn("base", base).withColumn("found", judged).withColumn("found", F.array_sort(F.concat("base", secret)))
 
 
 def listed(spans: Column) -> Column:
@@ -149,10 +183,30 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every run of spans (sorted by start) replaced by MASK."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when((x["s"] >= acc["at"]), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"]).alias("out"))
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """The text with every run of overlapping spans replaced by MASK.
+
+    A run begins where all spans that began before have ended. The text is taken in blocks, so that each gap between runs
+    is put together from the blocks that it lies in.
+    """
+
+    def runs(b: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(b["s"]) - 1), lambda i: (i == 0) | (F.get(b["e"], i - 1) <= F.get(b["s"], i)))
+        return let(first, lambda f: F.struct(F.transform(f, lambda i: F.get(b["s"], i)).alias("s"), F.transform(f, lambda i: F.when(i > 0, F.get(b["e"], i - 1)).otherwise(0)).alias("e"), F.get(b["e"], F.size(b["e"]) - 1).alias("last")))
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b - 1."""
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        one = F.substring(F.get(blocks, i), F.pmod(a, F.lit(BLOCK)) + 1, b - a)
+        more = F.concat(F.substring(F.get(blocks, i), F.pmod(a, F.lit(BLOCK)) + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.substring(F.get(blocks, j), F.lit(1), F.pmod(b - 1, F.lit(BLOCK)) + 1))
+        return F.when(a >= b, "").when(i == j, one).otherwise(more)
+
+    def built(x: Column) -> Column:
+        gaps = F.zip_with(x["r"]["e"], x["r"]["s"], lambda a, b: piece(x["blocks"], a, b))
+        return F.concat(F.array_join(gaps, MASK), F.lit(MASK), piece(x["blocks"], x["r"]["last"], F.length(text)))
+
+    bounds = F.struct(F.array_sort(F.transform(spans, lambda x: x["s"])).alias("s"), F.array_sort(F.transform(spans, lambda x: x["e"])).alias("e"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(blocks.alias("blocks"), let(bounds, runs).alias("r")), built))
 
 
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
