@@ -237,7 +237,8 @@ def _coded(name: str, pattern: str, buckets: int, schema: pa.Schema):
                     j += 1
                 lists.append({"bucket": rest[i][0], "words": pack_words([w for _, w, _ in rest[i:j]])})
                 i = j
-            head = [pa.array([pid << 24 | count], pa.int64()), pa.array([numbers], pa.list_(pa.int64())), pa.array([pack_numbers(place[x])], pa.binary()), pa.array([pack_numbers(ranks[order])], pa.binary()), pa.array([pack_numbers(np.array([c for _, _, c in rest]))], pa.binary()), pa.array([lists], schema.field("lists").type)]
+            seal = zlib.crc32(b"".join(x["words"] for x in lists))
+            head = [pa.array([pid << 24 | count], pa.int64()), pa.array([numbers], pa.list_(pa.int64())), pa.array([pack_numbers(place[x])], pa.binary()), pa.array([pack_numbers(ranks[order])], pa.binary()), pa.array([pack_numbers(np.array([c for _, _, c in rest]))], pa.binary()), pa.array([lists], schema.field("lists").type), pa.array([seal], pa.int64())]
             columns = [pa.concat_arrays([x[k] for x in kept]) for k in range(len(kept[0]))]
             return pa.RecordBatch.from_arrays([*head, *(pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), c) for c in columns)], names=schema.names)
 
@@ -262,18 +263,18 @@ def _coded(name: str, pattern: str, buckets: int, schema: pa.Schema):
 def _lists(parts: int):
     def split(batches):
         for batch in batches:
-            for chunk, lists in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for chunk, lists, seal in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 part = zlib.crc32(chunk.to_bytes(8, "little")) % parts
-                yield pa.RecordBatch.from_pylist([{"bucket": x["bucket"], "part": part, "chunk": chunk, "words": x["words"]} for x in lists], schema=_LIST)
+                yield pa.RecordBatch.from_pylist([{"bucket": x["bucket"], "part": part, "chunk": chunk, "seal": seal, "words": x["words"]} for x in lists], schema=_LIST)
 
     return split
 
 
-_LIST = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary())])
-_LIST_SQL = "bucket long, part long, chunk long, words binary"
+_LIST = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("chunk", pa.int64()), ("seal", pa.int64()), ("words", pa.binary())])
+_LIST_SQL = "bucket long, part long, chunk long, seal long, words binary"
 _WORDS_SQL = "bucket long, sub long, part long, words binary"
 _MERGED_SQL = "bucket long, part long, words binary, ids binary"
-_TOLD_SQL = "chunk long, bucket long, ids binary"
+_TOLD_SQL = "chunk long, bucket long, seal long, ids binary"
 
 
 def _distinct(buckets: int, parts: int):
@@ -312,7 +313,13 @@ def _told(left: pa.Table, right: pa.Table) -> pa.Table:
         ends, flat = (np.cumsum(n) * 4).tolist(), flat.tobytes()
         ids.update(zip(unpack_words(words.as_py()), (flat[a:b] for a, b in zip([0, *ends][:-1], ends, strict=True)), strict=True))
     out = [pack_ids([ids[w] for w in unpack_words(x.as_py())]) for x in left.column("words")]
-    return pa.table({"chunk": left.column("chunk"), "bucket": left.column("bucket"), "ids": pa.array(out, pa.binary())})
+    return pa.table({"chunk": left.column("chunk"), "bucket": left.column("bucket"), "seal": left.column("seal"), "ids": pa.array(out, pa.binary())})
+
+
+def check_seals(chunk: list[int], told: list[int]) -> None:
+    """Fail where ids answer another list of words than the chunk's: rows came in another order when a lost exchange was made again."""
+    if len(chunk) != 1 or set(told) - set(chunk):
+        raise ValueError("rows of a chunk changed between reads: give texts from files or a cut table")
 
 
 def _texts(name: str, keep: int, with_ids: bool, schema: pa.Schema):
@@ -320,6 +327,7 @@ def _texts(name: str, keep: int, with_ids: bool, schema: pa.Schema):
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         vocabulary = merges(name)
+        check_seals(left.column("seal").to_pylist(), right.column("seal").to_pylist())
         ranks = unpack_numbers(left.column("ranks")[0].as_py())
         codes = unpack_numbers(left.column("codes")[0].as_py())
         order = unpack_numbers(left.column("rest")[0].as_py())
@@ -359,7 +367,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text
     Null texts count as empty: no ids, the hashes of no bytes. Texts are encoded whole, without
     special tokens. Repeated rows and ids are encoded each; ``keep`` may have any names but those
     added. Empty input gives an empty result. The ranks file goes to executors as a job file.
-    Rows come in no fixed order. ``chars``: about how many characters there are, counted unless given.
+    Rows come in no fixed order. Chunks are made of rows in the order in which they are read; if that changes while a lost
+    exchange is made again, seals of the chunks' words differ and the job fails rather than mix up ids. ``chars``: about how many characters there are, counted unless given.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -372,7 +381,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text
     chunks = -(-chars // CHUNK_CHARS)
     buckets, parts = max(1, min(BUCKETS, -(-chunks // BUCKET_CHUNKS))), max(1, -(-chunks // PART_CHUNKS))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    coded_sql = ", ".join(["chunk long, n array<long>, codes binary, ranks binary, rest binary, lists array<struct<bucket: int, words: binary>>", *(f"k{i} array<{kinds[c]}>" for i, c in enumerate(keep))])
+    coded_sql = ", ".join(["chunk long, n array<long>, codes binary, ranks binary, rest binary, lists array<struct<bucket: int, words: binary>>, seal long", *(f"k{i} array<{kinds[c]}>" for i, c in enumerate(keep))])
     out_sql = ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids])
     arrow = lambda sql: to_arrow_schema(StructType.fromDDL(sql))
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])

@@ -134,6 +134,14 @@ def test_markov_models_on_held_out_strings(spark, sf_dir):
     assert len([i for i in hits if i < 100]) >= 90 and not [i for i in hits if i >= 100]
 
 
+def test_ids_for_other_words_are_refused():
+    bpe.check_seals([5], [5, 5])
+    bpe.check_seals([5], [])
+    for chunk, told in (([5], [5, 6]), ([5, 5], [5]), ([], [5])):
+        with pytest.raises(ValueError, match="changed between reads"):
+            bpe.check_seals(chunk, told)
+
+
 def test_bpe_against_tiktoken(spark):
     import base64
 
