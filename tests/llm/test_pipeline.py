@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from seamline.llm import quality
+from seamline.llm import mixing, quality
 
 from . import brute, data
 
@@ -29,6 +29,19 @@ def test_stages_keep_columns_named_like_their_own(spark, sf_dir):
             assert len(got) == docs.count()
 
 
+def test_positions_come_from_the_files_of_the_mix(spark, sf_dir, tmp_path, monkeypatch):
+    """The place in the written files is the mix's own; rows that are no whole files are mixed again."""
+    monkeypatch.setattr(corpus_pipeline, "FILE_ROWS", 30)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    corpus_pipeline.source_mix(spark, docs, sf_dir).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    assert corpus_pipeline._in_files(mixed) and not corpus_pipeline._in_files(mixed.where("doc_id % 2 = 0")) and not corpus_pipeline._in_files(mixed.groupBy("doc_id").count())
+    placed = {r.doc_id: r.mix_position for r in corpus_pipeline._placed(mixed).collect()}
+    assert placed == {r.doc_id: r.mix_position for r in mixing.mix(docs, mixing.TARGET_WEIGHTS, mixing.REST_WEIGHT).collect()}
+    half = corpus_pipeline.encoding(spark, mixed.where("doc_id % 2 = 0"), sf_dir).collect()
+    assert sorted(r.mix_position for r in half) == list(range(len(half)))
+
+
 def test_stages_of_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     assert [stage(spark, docs, sf_dir).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
