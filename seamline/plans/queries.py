@@ -660,4 +660,4 @@ def vec_project(spark, sf):
 
 ENTRY = "image_most_anomalous"
 
-from seamline.plans import more  # noqa: E402, F401  registers the rest
+from seamline.plans import images, more  # noqa: E402, F401  registers the rest
