@@ -1,15 +1,16 @@
 """Collocations by hierarchical pair naming.
 
-Texts become chunks of word codes. A chunk sends each of its distinct words once, with its count; words that are frequent
-over all chunks get a name, which goes back to the chunks that have them. Then adjacent names make pairs, counted and named
-in the same way: a frequent phrase of k words is the pair of the names of its first and its last k - 1 words. So each level
-is one exchange of a chunk's distinct pairs (a pair that is everywhere brings a row a chunk, not one for each place), and a
-name's two parents lead to all its parts: the counts at its cuts, and the shorter phrases that it may make superfluous.
+Texts become chunks of word codes. A chunk deals its distinct words, with their counts, into buckets by hash, packed as one list a
+bucket; a bucket sums the lists of all chunks, names what is frequent, and answers each chunk with the names that it may use. Then
+adjacent names make pairs, counted and named in the same way: a frequent phrase of k words is the pair of the names of its first
+and its last k - 1 words. A pair that is everywhere brings an entry a chunk, not one for each place. A name's two
+parents lead to all its parts: the counts at its cuts, and the shorter phrases that it may make superfluous.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -22,14 +23,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import pack_words, unpack_words
 from .common import bound_batches, table, written
+from .textblock import mix
 
 #: Least count of a candidate, words of the longest, the share (of 100) of its count at which a longer one replaces it, phrases a language.
 LEAST, LONGEST, REPLACED, TOP = 30, 4, 80, 2_000
 #: Words of a chunk, and bytes of a text that are split together.
 CHUNK_WORDS, SLICE_BYTES = 2_000_000, 1 << 20
-#: A name is its phrase's words (up to 7) and the first place that has it: the number of a chunk and the place in the chunk's list, with so many low bits. A chunk's number is its task's and, in the low bits, a count.
-WORDS_BITS, PLACE_BITS, COUNT_BITS = 60, 24, 16
+#: Entries of a bucket, about.
+BUCKET_ENTRIES = 3_000_000
+#: A name is its phrase's words (up to 7), its bucket, and its number there, from these bits on. A chunk's number is its task's and, in the low bits, a count.
+WORDS_BITS, BUCKET_BITS, COUNT_BITS = 60, 36, 16
 #: Parts of a language's phrases that are ranked apart, before their best are ranked together.
 RANKED_PARTS = 64
 
@@ -56,12 +61,30 @@ class _Words(dict):
         return n
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    return zstandard.compress(codes.astype("<i4").tobytes(), 1)
+def pack(x: np.ndarray) -> bytes:
+    """64-bit numbers, their bytes of one weight together, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), "<i4").astype(np.int64)
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+#: What chunks hand on: their state (bucket -1: codes of places, and lead) and a list a bucket (places in the chunk, counts, and words or both parents).
+_LISTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("lead", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("l", pa.binary()), ("r", pa.binary())])
+_LISTS_SQL = "chunk long, bucket long, lead long, places binary, counts binary, words binary, l binary, r binary"
+#: What buckets say: to a chunk, the names of some of its places; and, a row each, the names.
+_TOLD = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("f", pa.int64()), ("l", pa.int64()), ("r", pa.int64()), ("lang", pa.string()), ("word", pa.string())])
+_TOLD_SQL = "chunk long, places binary, ids binary, id long, f long, l long, r long, lang string, word string"
+
+
+def _handed_on(chunk: int, lead: int, codes: np.ndarray, bucket: np.ndarray, counts: np.ndarray, lists) -> pa.Table:
+    """A chunk's state, and its entries by bucket; ``lists`` packs the entries at some places."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    parts = np.split(order, cuts) if len(order) else []
+    rows = [{"chunk": chunk, "bucket": -1, "lead": lead, "places": pack(codes)}, *({"chunk": chunk, "bucket": int(bucket[at[0]]), "places": pack(np.diff(at, prepend=0)), "counts": pack(counts[at]), **lists(at)} for at in parts)]
+    return pa.Table.from_pylist(rows, schema=_LISTS)
 
 
 class _Chunk:
@@ -87,24 +110,17 @@ class _Chunk:
         self.size += 1
 
 
-def _first_level(chunk_words: int, longest: int):
+def _first_level(chunk_words: int, longest: int, buckets: int):
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, chunk = TaskContext.get().partitionId(), 0, _Chunk()
 
-        def done() -> pa.RecordBatch:
+        def done() -> list[pa.RecordBatch]:
             codes = np.concatenate(chunk.parts)
             counted = codes[chunk.lead :]
             counts = np.bincount(counted[counted >= 0], minlength=len(chunk.listed))
-            n = len(chunk.listed)
-            return pa.RecordBatch.from_pydict({
-                "chunk": pa.array([task << COUNT_BITS | number] * (n + 1), pa.int64()),
-                "place": pa.array([-1, *range(n)], pa.int64()),
-                "lang": pa.array([None, *(a for a, _ in chunk.listed)], pa.string()),
-                "word": pa.array([None, *(w.decode() for _, w in chunk.listed)], pa.string()),
-                "c": pa.array([None, *counts.tolist()], pa.int64()),
-                "codes": pa.array([_pack(codes), *[None] * n], pa.binary()),
-                "lead": pa.array([chunk.lead, *[None] * n], pa.int64()),
-            })
+            words = [a.encode() + b"\t" + w for a, w in chunk.listed]  # words have no tabs
+            bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+            return _handed_on(task << COUNT_BITS | number, chunk.lead, codes, bucket, counts, lambda at: {"words": pack_words([words[i] for i in at])}).to_batches()
 
         for batch in batches:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -119,54 +135,97 @@ def _first_level(chunk_words: int, longest: int):
                         chunk.add(language, part)
                         last.extend(part[-longest:])
                         if chunk.size >= chunk_words:
-                            yield done()
+                            yield from done()
                             number, chunk = number + 1, _Chunk(language, last)
                 chunk.stop()
         if chunk.listed:
-            yield done()
+            yield from done()
 
     return code
 
 
-_PAIRS = pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("l", pa.int64()), ("r", pa.int64()), ("c", pa.int64()), ("codes", pa.binary()), ("lead", pa.int64())])
-_PAIRS_SQL = "chunk long, place long, l long, r long, c long, codes binary, lead long"
-
-
-def _next_level(words: int):
+def _next_level(words: int, buckets: int):
     """Pairs of adjacent names, phrases of ``words`` words, from a chunk's codes and the names of those that are frequent."""
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _PAIRS.empty_table()
-        codes, lead = _unpack(left.column("codes")[0].as_py()), left.column("lead")[0].as_py()
-        places = right.column("place").to_numpy()
+            return _LISTS.empty_table()
+        codes, lead = unpack(left.column("places")[0].as_py()), left.column("lead")[0].as_py()
+        places = np.concatenate([unpack(x.as_py()) for x in right.column("places")])
         span = max(int(codes.max(initial=0)), int(places.max(initial=0))) + 1
         name = np.full(span + 1, -1, np.int64)
-        name[places] = right.column("id").to_numpy()
+        name[places] = np.concatenate([unpack(x.as_py()) for x in right.column("ids")])
         named = name[codes] >= 0  # code -1 looks at the last entry, which stays -1
         at = np.flatnonzero(named[:-1] & named[1:])
         pairs, inverse = np.unique(codes[at] * span + codes[at + 1], return_inverse=True)
         counts = np.bincount(inverse, weights=at + words - 1 >= lead, minlength=len(pairs)).astype(np.int64)
         new = np.full(max(len(codes) - 1, 0), -1, np.int64)
         new[at] = inverse
-        chunk, n = left.column("chunk")[0].as_py(), len(pairs)
-        none = pa.nulls(n, pa.int64())
-        found = pa.Table.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(name[pairs // span]), pa.array(name[pairs % span]), pa.array(counts), pa.nulls(n, pa.binary()), none], schema=_PAIRS)
-        state = pa.Table.from_pydict({"chunk": [chunk], "place": [-1], "l": [None], "r": [None], "c": [None], "codes": [_pack(new)], "lead": [lead]}, schema=_PAIRS)
-        return pa.concat_tables([state, found])
+        l, r = name[pairs // span], name[pairs % span]
+        with np.errstate(over="ignore"):
+            bucket = (mix(mix(l.astype(np.uint64)) + r.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        return _handed_on(left.column("chunk")[0].as_py(), lead, new, bucket, counts, lambda k: {"l": pack(l[k]), "r": pack(r[k])})
 
     return pair
 
 
-def _here(words: int) -> Column:
-    return F.lit(words << WORDS_BITS).bitwiseOR(F.shiftleft("chunk", PLACE_BITS)).bitwiseOR(F.col("place"))
+def _answers(chunks: pa.ChunkedArray, place: np.ndarray, name: np.ndarray, ends: np.ndarray) -> list[dict]:
+    """For each list (they end at ``ends``), the places that got a name, and the names."""
+    out = []
+    for chunk, a, b in zip(chunks.to_pylist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+        at = a + np.flatnonzero(name[a:b] >= 0)
+        if len(at):
+            out.append({"chunk": chunk, "places": pack(place[at]), "ids": pack(name[at])})
+    return out
+
+
+def _summed(words: int, least: int):
+    """A bucket's lists summed: names for what is counted ``least`` times over all chunks, in the order of the keys."""
+
+    def name(group: pa.Table) -> pa.Table:
+        first = words << WORDS_BITS | group.column("bucket")[0].as_py() << BUCKET_BITS
+        place = [np.cumsum(unpack(x.as_py())) for x in group.column("places")]
+        ends, place = np.cumsum([len(p) for p in place]), np.concatenate(place)
+        count = np.concatenate([unpack(x.as_py()) for x in group.column("counts")])
+        if words == 1:
+            listed = [w for x in group.column("words") for w in unpack_words(x.as_py())]
+            number = {w: k for k, w in enumerate(sorted(set(listed)))}
+            key = np.fromiter(map(number.__getitem__, listed), np.int64, len(listed))
+            total = np.bincount(key, weights=count, minlength=len(number)).astype(np.int64)
+        else:
+            l, r = (np.concatenate([unpack(x.as_py()) for x in group.column(c)]) for c in ("l", "r"))
+            order = np.lexsort((r, l))
+            new = np.r_[True, (l[order][1:] != l[order][:-1]) | (r[order][1:] != r[order][:-1])]
+            key = np.empty(len(order), np.int64)
+            key[order] = np.cumsum(new) - 1
+            total = np.add.reduceat(count[order], np.flatnonzero(new))
+            l, r = l[order[new]], r[order[new]]
+        often = np.flatnonzero(total >= least)
+        ids = np.full(len(total), -1, np.int64)
+        ids[often] = first + np.arange(len(often))
+        told = pa.Table.from_pylist(_answers(group.column("chunk"), place, ids[key], ends), schema=_TOLD)
+        names = {"id": ids[often], "f": total[often]}
+        if words == 1:
+            by_number = list(number)
+            both = [by_number[k].decode().rsplit("\t", 1) for k in often.tolist()]
+            names |= {"lang": [a for a, _ in both], "word": [w for _, w in both]}
+        else:
+            names |= {"l": l[often], "r": r[often]}
+        n = len(often)
+        return pa.concat_tables([told, pa.Table.from_arrays([pa.array(names[f.name], f.type) if f.name in names else pa.nulls(n, f.type) for f in _TOLD], schema=_TOLD)])
+
+    return name
 
 
-def _named(level: DataFrame, words: int, key: list[str], least: int) -> DataFrame:
-    """chunk, place, id, f and the key of each place of a chunk whose key is frequent over all chunks. ``id`` is the key's first place."""
-    all_of = Window.partitionBy(*key)
-    places = level.where("place >= 0").select("chunk", "place", *key, "c")
-    return written(places.withColumns({"f": F.sum("c").over(all_of), "id": F.min(_here(words)).over(all_of)}).where(F.col("f") >= least).drop("c"), "named")
+def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each language in first-level lists."""
+    for batch in batches:
+        n: dict[str, int] = {}
+        for words, counts in zip(batch.column(0), batch.column(1), strict=True):
+            for w, c in zip(unpack_words(words.as_py()), unpack(counts.as_py()).tolist(), strict=True):
+                lang = w.rsplit(b"\t", 1)[0].decode()
+                n[lang] = n.get(lang, 0) + c
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
 
 def _phrases(names: DataFrame, shorter: DataFrame, words: int) -> DataFrame:
@@ -194,18 +253,21 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     """
     bound_batches(docs)
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    level = written(rows.mapInArrow(_first_level(chunk_words, longest), "chunk long, place long, lang string, word string, c long, codes binary, lead long"), "words")
-    totals = level.where("place >= 0").groupBy("lang").agg(F.sum("c").alias("n"))
-    key, names = ["lang", "word"], []
-    for words in range(1, longest):
-        places = _named(level, words, key, least)
-        names.append(places.where(F.col("id") == _here(words)).select("id", "f", *key))
-        state = level.where("place = -1").select("chunk", "codes", "lead")
-        told = places.select("chunk", "place", "id")
-        level = written(state.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_next_level(words + 1), _PAIRS_SQL), "pairs")
-        key = ["l", "r"]
-    longest_of_all = level.where("place >= 0").groupBy(*key).agg(F.sum("c").alias("f"), F.min(_here(longest)).alias("id"))
-    names.append(longest_of_all.where(F.col("f") >= least))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = lambda entries: max(1, -(-entries // BUCKET_ENTRIES))
+    level = written(rows.mapInArrow(_first_level(chunk_words, longest, buckets(chars // 12)), _LISTS_SQL), "words")
+    totals = level.where("bucket >= 0").select("words", "counts").mapInArrow(_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = totals.where("n > 0")
+    names = []
+    for words in range(1, longest + 1):
+        lists = level.where("bucket >= 0").select("chunk", "bucket", "places", "counts", *(["words"] if words == 1 else ["l", "r"]))
+        told = written(lists.groupBy("bucket").applyInArrow(_summed(words, least), _TOLD_SQL), "named")
+        names.append(told.where("id is not null").select("id", "f", *(["lang", "word"] if words == 1 else ["l", "r"])))
+        if words < longest:
+            live = names[-1].agg(F.sum("f")).first()[0] or 0  # places that have a name
+            state = level.where("bucket = -1").select("chunk", "places", "lead")
+            answers = told.where("id is null").select("chunk", "places", "ids")
+            level = written(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(words + 1, buckets(live)), _LISTS_SQL), "pairs")
     none = F.array().cast("array<long>")
     levels = [names[0].select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), none.alias("firsts"), none.alias("lasts"), none.alias("parts"))]
     for words in range(2, longest + 1):
@@ -228,7 +290,8 @@ def op11_pair_naming_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents WHERE text IS NOT NULL),
 p AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
 g AS (SELECT lang, w[i : i + k - 1] AS w, k FROM (SELECT lang, w, k, unnest(range(1, CAST(len(w) AS BIGINT) - k + 2)) AS i FROM p, range(1, 5) t(k))),
