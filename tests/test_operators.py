@@ -117,14 +117,35 @@ def test_self_validation_against_brute_force(spark):
     assert math.isclose(t.threshold, np.median(s) + 3.5 * 1.4826 * np.median(abs(s - np.median(s))))
 
 
+def test_ranks_of_equal_values_are_parted(spark):
+    """A group of one value: dealt by tie, ranks without gaps."""
+    df = spark.range(5000).select(F.lit("a").alias("k"), F.lit(2.5).alias("x"), F.col("id").alias("i"))
+    placed = ranks.ranked(df, ["k"], "x", ["i"], part_rows=400)
+    assert [(r.i, r["rank"], r.n) for r in placed.orderBy("i").collect()] == [(i, i, 5000) for i in range(5000)]
+    assert ranks.percentiles(df, ["k"], "x", {"p": 0.3, "q": 1.0}, accuracy=10).first().asDict() == {"k": "a", "p": 2.5, "q": 2.5}
+
+
+def test_percentiles_of_brackets(spark):
+    """Groups beyond the accuracy, with ties, against NumPy."""
+    rng = np.random.default_rng(8)
+    rows = [(k, float(x)) for k, n in (("a", 3000), ("b", 900), ("c", 1), ("d", 2)) for x in np.round(rng.lognormal(size=n), 1 if k == "b" else 9)] + [("a", None)]
+    shares = {"lowest": 0.0, "p1": 0.01, "p50": 0.5, "p73": 0.737, "p999": 0.999, "top": 1.0}
+    got = {r.k: r for r in ranks.percentiles(spark.createDataFrame(rows, "k string, x double").repartition(5), ["k"], "x", shares, accuracy=100).collect()}
+    for k in "abcd":
+        x = [v for g, v in rows if g == k and v is not None]
+        assert np.allclose([got[k][n] for n in shares], [np.quantile(x, p) for p in shares.values()])
+    whole = ranks.percentiles(spark.createDataFrame(rows, "k string, x double"), [], "x", {"m": 0.5}, accuracy=100).first().m
+    assert np.isclose(whole, np.median([v for _, v in rows if v is not None]))
+
+
 def test_ranks_and_percentiles(spark):
     rng = np.random.default_rng(6)
     x = np.round(rng.normal(size=500), 1)
     df = spark.createDataFrame([("ab"[i % 2], i, float(a)) for i, a in enumerate(x)], "k string, i long, x double")
-    got = {r.k: r for r in ranks.percentiles(df, ["k"], "x", {"p5": 0.05, "p50": 0.5, "p99": 0.99}, parts=7).collect()}
+    got = {r.k: r for r in ranks.percentiles(df, ["k"], "x", {"p5": 0.05, "p50": 0.5, "p99": 0.99}, accuracy=40).collect()}
     for j, k in enumerate("ab"):
         assert np.allclose([got[k].p5, got[k].p50, got[k].p99], np.percentile(x[j::2], [5, 50, 99]))
-    placed = ranks.ranked(df, ["k"], "x", ["i"], parts=7).where("k = 'a'").orderBy("rank").collect()
+    placed = ranks.ranked(df, ["k"], "x", ["i"], part_rows=60).where("k = 'a'").orderBy("rank").collect()
     assert [r.i for r in placed] == sorted(range(0, 500, 2), key=lambda i: (x[i], i)) and [r["rank"] for r in placed] == list(range(250))
 
 
