@@ -31,3 +31,8 @@ def project(a: Column, matrix: list[list[float]]) -> Column:
 def chi_square(h: Column, r: Column) -> Column:
     """Sum of (h - r)^2 / (r + 1e-10) over bins."""
     return total(F.zip_with(h, r, lambda x, y: (x - y) * (x - y) / (y + F.lit(1e-10))))
+
+
+def add(a: Column, b: Column) -> Column:
+    """Sum of two vectors."""
+    return F.zip_with(a, b, lambda x, y: x + y)

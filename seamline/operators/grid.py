@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def tiles(spark: SparkSession, width: int, height: int, tile: int, stride: int) -> DataFrame:
@@ -38,3 +39,21 @@ def brightness_mask(means: DataFrame, keys: list[str], threshold: float) -> Data
 def masked(tiles_: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
     """Tiles with valid from the mask, true where it has none."""
     return tiles_.join(mask, keys, "left").withColumn("valid", F.coalesce("valid", F.lit(True)))
+
+
+def pooled(cells: DataFrame, keys: list[str], size: int = 3, stride: int = 1, vector: str = "v") -> DataFrame:
+    """keys, row, col, v: means of vectors over windows of ``size`` by ``size`` cells, one every ``stride``, that lie within what is there.
+
+    ``cells``: keys, row, col (ints) and vectors of one length. Sums run along rows, then along columns, so that a cell is sent to two windows
+    rather than joined with each neighbour; windows that miss a cell give no row. ``row`` and ``col`` count the windows.
+    """
+    from seamline.functions.vectors import add
+
+    def along(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+        span = Window.partitionBy(*keys, *group).orderBy(order).rangeBetween(0, size - 1)
+        listed = rows.withColumn("_w", F.collect_list(vector).over(span)).where((F.size("_w") == size) & (F.col(order) % stride == 0))
+        return listed.withColumn(vector, F.aggregate(F.slice("_w", 2, size - 1), F.get("_w", F.lit(0)), add)).drop("_w")
+
+    sums = along(along(cells.select(*keys, "row", "col", vector), ["row"], "col"), ["col"], "row")
+    number = lambda c: F.expr(f"{c} div {stride}").cast("int").alias(c)
+    return sums.select(*keys, number("row"), number("col"), F.transform(vector, lambda x: x / (size * size)).alias("v"))

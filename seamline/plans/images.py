@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions import generators, shapes
-from seamline.operators import drawing
+from seamline.operators import drawing, grid, knn
+from seamline.plans.lineage import own_folder
 from seamline.plans.queries import _t, query
+from seamline.sources import pixels, store
 
 # Images: an embedding is a grey image of 8 by 8 ---------------------------------------------------
 
@@ -24,8 +26,8 @@ def _grey(v):
 def big_images(spark, sf) -> DataFrame:
     """id, key, pixels: images of 32 by 32, flat."""
     at = lambda i: (F.floor(i / SIDE / SCALE) * 8 + F.floor(F.pmod(i, F.lit(SIDE)) / SCALE)).cast("int")
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: _grey(F.get(F.col("embedding"), at(i))))
-    return spread(_t(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("string").alias("key"), pixels.alias("pixels"))
+    flat = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: _grey(F.get(F.col("embedding"), at(i))))
+    return spread(_t(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("string").alias("key"), flat.alias("pixels"))
 
 
 def _changed(a, b):
@@ -184,3 +186,98 @@ s AS (SELECT id, 'line' AS kind, CAST(n - 1 AS INTEGER) AS level, 1 AS form, cx
 def defects_ratio_line(spark, sf):
     """A drawn line at seven levels: none, black, and ratios of the brightness about it."""
     return _each(big_images(spark, sf), [("line", n, generators.ratio_line(n, F.col("key"), F.col("pixels"), SIDE, SIDE, UNIT)) for n in generators.RATIOS]).drop("kind")
+
+
+# Bytes, maps of vectors, layers, stored models ------------------------------------------------------
+
+
+@query(f"SELECT vec_id AS id, CAST(i // 8 * 7 + i % 8 AS INTEGER) AS pos, CAST(floor({_GREY.format(v='embedding[i + 1]')}) AS INTEGER) AS value FROM embeddings, range(64) r(i) WHERE i % 8 < 7")
+def pixels_from_bytes(spark, sf):
+    """Images of 8 by 7 as bytes of bitmaps, with filled rows, and the pixels read from these."""
+    kept = F.filter(F.transform("embedding", lambda x: F.floor(_grey(x))), lambda _, i: i % 8 < 7)
+    data = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), pixels.to_bitmap(kept, 8, 7).alias("data"))
+    return data.select("id", F.posexplode(pixels.bitmap(F.col("data"))["pixels"]).alias("pos", "value"))
+
+
+def map_cells(spark, sf) -> DataFrame:
+    """image, row, col, v: vectors on maps of 4 by 4."""
+    return _t(spark, sf, "embeddings").select(F.expr("vec_id div 16").alias("image"), F.expr("cast(vec_id % 16 div 4 as int)").alias("row"), F.expr("cast(vec_id % 4 as int)").alias("col"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query("""WITH c AS (SELECT vec_id // 16 AS image, vec_id % 16 // 4 AS y, vec_id % 4 AS x, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+w AS (SELECT a.image, a.y, a.x, d, avg(b.v[d + 1]) AS m, count(*) AS n FROM c a JOIN c b ON a.image = b.image AND b.y BETWEEN a.y AND a.y + 2 AND b.x BETWEEN a.x AND a.x + 2, range(64) r(d) GROUP BY ALL)
+SELECT image, CAST(y AS INTEGER) AS row, CAST(x AS INTEGER) AS col, CAST(d AS INTEGER) AS d, round(m, 6) AS value FROM w WHERE n = 9""")
+def grid_pooled_vectors(spark, sf):
+    """Maps of vectors under mean pooling of 3 by 3."""
+    return grid.pooled(map_cells(spark, sf), ["image"]).select("image", "row", "col", F.posexplode("v").alias("d", "value")).withColumn("value", F.round("value", 6))
+
+
+#: Components and bank rows (of every so many) of each layer set.
+_LAYERS = {"L1": (0, 16, 5), "L1-3": (0, 48, 10), "L1-4": (0, 64, 5)}
+
+
+@query(f"""WITH l AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {a}, {b}, {n})" for k, (a, b, n) in _LAYERS.items())}) t(layer, a, b, n)), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT q.vec_id AS id, layer, list_distance(q.v[a + 1 : b], k.v[a + 1 : b]) AS d FROM l, e q, e k WHERE q.vec_id % 5 <> 0 AND k.vec_id % n = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY d) AS rn FROM d)
+SELECT id, layer, round(avg(d), 6) AS score FROM r WHERE rn <= 3 GROUP BY 1, 2""")
+def knn_layer_sets(spark, sf):
+    """Mean distance of the 3 nearest by layer set, each with a bank of its own, in one pass."""
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    sets = F.filter(F.array(*[F.when(F.col("id") % n == 0, k) for k, (_, _, n) in _LAYERS.items()]), lambda x: x.isNotNull())
+    bank = rows.withColumn("layers", sets).where(F.size("layers") > 0)
+    return knn.layer_scores(rows.where("id % 5 <> 0"), bank, {k: (a, b) for k, (a, b, _) in _LAYERS.items()}, 3).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT concat('m', label) AS model, count(*) AS n, min(vec_id) AS first, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings WHERE vec_id % CASE WHEN label = 1 THEN 7 ELSE 5 END = 0 AND label < 3 GROUP BY 1")
+def models_stored(spark, sf):
+    """Banks of three models in a store; one is fitted again alone, and all are read in their version in use."""
+    root = own_folder(spark, "models")
+    rows = _t(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    for label, every in ((0, 5), (1, 5), (2, 5), (1, 7)):
+        store.save(root, {"bank": rows.where((F.col("label") == label) & (F.col("vec_id") % every == 0)).drop("label")}, f"m{label}")
+    return store.load_all(spark, root, "bank").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.sum("vec_id").alias("ids"))
+
+
+# Grids of given rows: a row is a tile of an image, numbered within it ---------------------------------
+
+_AT = "g AS (SELECT CAST(r * {nx} + c AS INTEGER) AS tile_idx, CAST(c * {s} AS INTEGER) AS tile_x, CAST(r * {s} AS INTEGER) AS tile_y, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM range({ny}) a(r), range({nx}) b(c)), t AS (SELECT l_orderkey // {n} AS image, l_orderkey, l_linenumber, l_quantity, g.* FROM lineitem JOIN g ON g.tile_idx = (l_orderkey * 7 + l_linenumber) % {n})"
+
+
+def line_tiles(spark, sf, width: int, height: int, size: int, step: int) -> DataFrame:
+    """image, l_orderkey, l_linenumber, l_quantity and the tile of an image of width by height that a row of lineitem is."""
+    places = grid.tiles(spark, width, height, size, step)
+    n = ((width - size) // step + 1) * ((height - size) // step + 1)
+    rows = _t(spark, sf, "lineitem").select(F.expr(f"l_orderkey div {n}").alias("image"), "l_orderkey", "l_linenumber", "l_quantity", F.expr(f"cast((l_orderkey * 7 + l_linenumber) % {n} as int)").alias("tile_idx"))
+    return rows.join(F.broadcast(places), "tile_idx")  # as many rows as an image has tiles
+
+
+@query(f"WITH {_AT.format(nx=15, ny=9, s=128, n=135)} SELECT image, tile_x, tile_y, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM t GROUP BY ALL")
+def grid_tiles_of_rows(spark, sf):
+    """Rows by image and place of their tile."""
+    return line_tiles(spark, sf, 1920, 1200, 128, 128).groupBy("image", "tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"))
+
+
+@query(f"WITH {_AT.format(nx=80, ny=50, s=24, n=4000)} SELECT l_orderkey, l_linenumber, row, col FROM t WHERE row % 2 = 0 AND col % 2 = 0")
+def grid_cells_stride2_of_rows(spark, sf):
+    """Rows on every other cell of every other row."""
+    return grid.stride2(line_tiles(spark, sf, 1920, 1200, 24, 24)).select("l_orderkey", "l_linenumber", "row", "col")
+
+
+@query(f"WITH {_AT.format(nx=14, ny=8, s=128, n=112)} SELECT CAST(tile_x // 128 + i AS INTEGER) AS cell_x, CAST(tile_y // 128 + j AS INTEGER) AS cell_y, round(avg(l_quantity), 6) AS heat FROM t, range(2) a(i), range(2) b(j) GROUP BY 1, 2")
+def grid_overlap_heatmap_of_rows(spark, sf):
+    """Mean quantity over the overlapping tiles that cover a cell."""
+    return grid.overlap_heatmap(line_tiles(spark, sf, 1920, 1200, 256, 128).withColumn("score", F.col("l_quantity")), 256, 128).withColumn("heat", F.round("heat", 6))
+
+
+@query(f"WITH {_AT.format(nx=15, ny=7, s=128, n=105)} SELECT image, count(*) FILTER (WHERE abs(tile_x + 64 - 960) <= 192 AND abs(tile_y + 164 - 600) <= 192) AS n_center, count(*) AS n FROM t GROUP BY 1")
+def grid_cropped_of_rows(spark, sf):
+    """Of images cropped by 100 pixels at the top and bottom: rows near the center, and all."""
+    near = (F.abs(F.col("tile_x") + 64 - 960) <= 192) & (F.abs(F.col("tile_y") + 164 - 600) <= 192)
+    return line_tiles(spark, sf, 1920, 1000, 128, 128).groupBy("image").agg(F.count_if(near).alias("n_center"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_AT.format(nx=15, ny=9, s=128, n=135)} SELECT l_orderkey, l_linenumber, tile_idx, CAST(row * 15 + 14 - col AS INTEGER) AS mirror_idx FROM t WHERE row < 2")
+def tiles_row_band_of_rows(spark, sf):
+    """Rows in the top two rows of tiles, with the tile of the mirrored camera."""
+    t = line_tiles(spark, sf, 1920, 1200, 128, 128).where("row < 2")
+    return t.select("l_orderkey", "l_linenumber", "tile_idx", (F.col("row") * 15 + grid.mirror_col(F.col("col"), 15)).cast("int").alias("mirror_idx"))
