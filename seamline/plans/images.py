@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.functions import generators, shapes
-from seamline.operators import drawing, grid, knn
+from seamline.functions import generators, shapes, stencils
+from seamline.operators import drawing, equalise, grid, knn
 from seamline.plans.lineage import own_folder
 from seamline.plans.queries import _t, query
 from seamline.sources import pixels, store
+from seamline.streaming import status
 
 # Images: an embedding is a grey image of 8 by 8 ---------------------------------------------------
 
@@ -281,3 +282,64 @@ def tiles_row_band_of_rows(spark, sf):
     """Rows in the top two rows of tiles, with the tile of the mirrored camera."""
     t = line_tiles(spark, sf, 1920, 1200, 128, 128).where("row < 2")
     return t.select("l_orderkey", "l_linenumber", "tile_idx", (F.col("row") * 15 + grid.mirror_col(F.col("col"), 15)).cast("int").alias("mirror_idx"))
+
+
+# Neighbourhoods, contrast, status ------------------------------------------------------------------
+
+_SMALL = f"px AS (SELECT vec_id AS id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, {_GREY.format(v='embedding[i + 1]')} AS v FROM embeddings, range(64) r(i))"
+_RING = ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(stencils.RING))
+
+
+def small_images(spark, sf) -> DataFrame:
+    """id, pixels: images of 8 by 8, flat."""
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", _grey).alias("pixels"))
+
+
+@query(f"""WITH {_SMALL}, two AS (SELECT 0 AS turned, * FROM px UNION ALL SELECT 1, id, 7 - y, 7 - x, v FROM px),
+n AS (SELECT c.turned, c.id, c.y, c.x, sum(CASE WHEN m.v >= c.v THEN 1 << k ELSE 0 END) AS code, sum(m.v * dx * (2 - abs(dy))) AS gx, sum(m.v * dy * (2 - abs(dx))) AS gy
+  FROM two c, (VALUES {_RING}) f(k, dy, dx), two m WHERE m.turned = c.turned AND m.id = c.id AND m.y = c.y + dy AND m.x = c.x + dx AND c.y BETWEEN 1 AND 6 AND c.x BETWEEN 1 AND 6 GROUP BY 1, 2, 3, 4),
+l AS (SELECT id, stddev_pop(code) AS lbp_std, avg(sqrt(gx * gx + gy * gy)) AS sobel FROM n WHERE turned = 0 GROUP BY 1),
+h AS (SELECT id, code, count(*) FILTER (WHERE turned = 0) / 36.0::DOUBLE AS a, count(*) FILTER (WHERE turned = 1) / 36.0::DOUBLE AS b FROM n GROUP BY 1, 2),
+c AS (SELECT id, sum((a - b) ** 2 / (a + b)) / 2 AS lbp_chi2 FROM h GROUP BY 1),
+s AS (SELECT id, k, y // k AS y, x // k AS x, avg(v) FILTER (WHERE turned = 0) AS v, avg(v) FILTER (WHERE turned = 1) AS w FROM two, (VALUES (1), (2), (4)) f(k) GROUP BY 1, 2, 3, 4),
+d AS (SELECT id, k, stddev_pop(v) AS std FROM s GROUP BY 1, 2), m AS (SELECT id, avg(std) AS multires FROM d GROUP BY 1),
+t AS (SELECT id, k, abs(v - w) AS away, row_number() OVER (PARTITION BY id, k ORDER BY abs(v - w) DESC) AS rn, count(*) OVER (PARTITION BY id, k) AS n FROM s),
+w AS (SELECT id, max(top) AS worst FROM (SELECT id, k, avg(away) AS top FROM t WHERE rn <= greatest(floor(n * 5 / 100), 1) GROUP BY 1, 2) GROUP BY 1)
+SELECT id, round(lbp_std, 5) AS lbp_std, round(lbp_chi2, 5) AS lbp_chi2, round(sobel, 5) AS sobel, round(multires, 5) AS multires, round(worst, 5) AS worst FROM l JOIN c USING (id) JOIN m USING (id) JOIN w USING (id)""")
+def raster_stencils(spark, sf):
+    """Binary patterns (deviation, and distance of the histogram from the turned image's), gradients, deviation over scales, and the worst scale against the turned image."""
+    both = small_images(spark, sf).withColumn("turned", F.reverse("pixels"))
+    p, t = F.col("pixels"), F.col("turned")
+    measures = {"lbp_std": stencils.deviation(stencils.lbp(p, 8)), "lbp_chi2": stencils.chi_square(stencils.histogram(stencils.lbp(p, 8)), stencils.histogram(stencils.lbp(t, 8))), "sobel": stencils.mean(stencils.gradients(p, 8)), "multires": stencils.deviation_by_scale(p, 8), "worst": stencils.worst_scale(p, t, 8)}
+    return both.select("id", *[F.round(m, 5).alias(n) for n, m in measures.items()])
+
+
+@query(f"""WITH {_SMALL}, q AS (SELECT id, y, x, CAST(floor(v) AS INTEGER) AS v FROM px),
+h AS (SELECT i.id, ty, tx, b, count(q.v) AS n FROM (SELECT DISTINCT id FROM q) i CROSS JOIN range(2) r(ty) CROSS JOIN range(2) c(tx) CROSS JOIN range(256) k(b) LEFT JOIN q ON q.id = i.id AND y // 4 = ty AND x // 4 = tx AND q.v = b GROUP BY 1, 2, 3, 4),
+o AS (SELECT id, ty, tx, CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS over FROM h GROUP BY 1, 2, 3),
+e AS (SELECT h.id, h.ty, h.tx, b, least(n, 1) + over // 256 + CASE WHEN over % 256 > 0 AND b % greatest(256 // greatest(over % 256, 1), 1) = 0 AND b // greatest(256 // greatest(over % 256, 1), 1) < over % 256 THEN 1 ELSE 0 END AS n FROM h JOIN o ON o.id = h.id AND o.ty = h.ty AND o.tx = h.tx),
+t AS (SELECT id, ty, tx, b, least(round_even(sum(n) OVER (PARTITION BY id, ty, tx ORDER BY b) * (255.0::DOUBLE / 16), 0), 255) AS u FROM e),
+f AS (SELECT *, y / 4.0::DOUBLE - 0.5 AS fy, x / 4.0::DOUBLE - 0.5 AS fx FROM q),
+g AS (SELECT f.id, f.y, f.x, sum(u * (CASE WHEN j = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE WHEN i = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END)) AS u
+  FROM f, range(2) a(j), range(2) b(i), t WHERE t.id = f.id AND t.b = f.v AND t.ty = least(greatest(floor(fy) + j, 0), 1) AND t.tx = least(greatest(floor(fx) + i, 0), 1) GROUP BY 1, 2, 3)
+SELECT id, CAST(y * 8 + x AS INTEGER) AS pos, round_even(u, 0) AS value FROM g""")
+def pixel_clahe(spark, sf):
+    """Contrast-limited equalisation of images of 8 by 8 in 2 by 2 tiles."""
+    whole = small_images(spark, sf).withColumn("pixels", F.transform("pixels", lambda v: F.floor(v)))
+    return equalise.clahe(whole, 8, 8, 2, 2).select("id", F.posexplode("pixels").alias("pos", "value"))
+
+
+_LINES = "['Spec: ' || (event_id % 7) || 'x' || (event_id % 3) || ' | Group ' || (event_id % 5), 'Self-validation round ' || (event_id % 3 + 1) || '/3', 'Round ' || (event_id % 3) || ' features: ' || (event_id % 100) || '%', 'Scoring: ' || (event_id % 100) || '%', 'nothing to see']"
+
+
+@query(f"""WITH l AS (SELECT user_id AS job, event_id AS seen_at, event_id % 5 AS kind, {_LINES}[event_id % 5 + 1] AS line FROM events)
+SELECT job, arg_max(split_part(split_part(line, ' ', 2), ' ', 1), seen_at) FILTER (WHERE kind = 0) AS spec, CAST(arg_max(split_part(line, 'Group ', 2), seen_at) FILTER (WHERE kind = 0) AS INTEGER) AS "group",
+  arg_max(split_part(line, 'round ', 2), seen_at) FILTER (WHERE kind = 1) AS round,
+  arg_max(CASE WHEN kind = 2 THEN 'Feature extraction (Round ' || split_part(line, ' ', 2) || ')' ELSE 'Scoring' END, seen_at) FILTER (WHERE kind IN (2, 3)) AS stage,
+  arg_max(CASE WHEN kind = 2 THEN split_part(line, 'features: ', 2) ELSE split_part(line, 'Scoring: ', 2) END, seen_at) FILTER (WHERE kind IN (2, 3)) AS detail, max(seen_at) AS seen FROM l GROUP BY 1""")
+def status_of_jobs(spark, sf):
+    """The last spec, round and stage of each job, from lines of its log."""
+    e = F.col("event_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    lines = F.array(text("Spec: ", e % 7, "x", e % 3, " | Group ", e % 5), text("Self-validation round ", e % 3 + 1, "/3"), text("Round ", e % 3, " features: ", e % 100, "%"), text("Scoring: ", e % 100, "%"), F.lit("nothing to see"))
+    return status.last_status(_t(spark, sf, "events").select(F.col("user_id").alias("job"), e.alias("at"), F.get(lines, (e % 5).cast("int")).alias("line")))
