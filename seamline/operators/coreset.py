@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.plans.lineage import cut
+from seamline.plans.lineage import cut, own_folder
 
 from .ranks import ranked
 
@@ -62,3 +62,76 @@ def partitioned(vectors: DataFrame, ratio: float, rows: int = 20_000) -> DataFra
         if left >= 0.25:
             return picked
         current, left = cut(picked.drop("pick")), left / share
+
+
+#: Most blocks of an exact coreset, and rows that a round offers to the driver: both bound what it holds.
+BLOCKS, OFFERED = 1024, 1024
+
+
+def _nearest(points: np.ndarray, column: str, kind: str):
+    """Squared distance of each row from the nearest of ``points``, or the number of that point."""
+
+    def run(frames):
+        for pdf in frames:
+            v = np.array(pdf["v"].tolist(), float).reshape(len(pdf), points.shape[1])
+            least, at = np.full(len(v), np.inf), np.zeros(len(v), np.int64)
+            for n, p in enumerate(points):
+                d = ((v - p) ** 2).sum(1)
+                at[d < least] = n
+                least = np.minimum(least, d)
+            yield pdf.assign(**{column: at if kind == "number" else least})
+
+    return run
+
+
+def exact(vectors: DataFrame, ratio: float, least: int = 1, block_rows: int = 100_000, offered: int = OFFERED) -> DataFrame:
+    """id, v, pick: the greedy coreset of one model of any size, the same rows in the same order as one pass would pick.
+
+    ``vectors``: id long (each once), v array<double> of one length. Rows lie in blocks about BLOCKS pivots at most, partitioned by block; each row's squared distance from
+    what is picked is kept apart. A round takes the ``offered`` rows that are farthest, and picks among them for as long as the farthest of them is
+    over all other rows, whose distances only fall: those picks are exactly the next ones. Only blocks that a pick may be nearer to than
+    what is picked already, by their middle and radius, are read again. An empty table gives an empty result.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select("id", "v")
+    n = rows.count()
+    if not n:
+        return rows.withColumn("pick", F.lit(0))
+    target = min(n, max(least, int(n * ratio)))
+    pivots = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(BLOCKS, -(-n // block_rows))).collect()], float)
+    folder = own_folder(spark, "blocks")
+    rows.mapInPandas(_nearest(pivots, "block", "number"), "id long, v array<double>, block long").repartition("block").write.partitionBy("block").parquet(folder)
+    held = spark.read.schema("id long, v array<double>, block long").parquet(folder)
+    radius = held.mapInPandas(_block_reach(pivots), "block long, far double").groupBy("block").agg(F.max("far").alias("far"))
+    far = dict(radius.collect())  # a row a block
+    start = rows.orderBy("id").first()
+    ids, new = [start.id], np.array([start.v], float)
+    state = held.select("id", "block", F.lit(float("inf")).alias("least"))
+    most = dict.fromkeys(far, np.inf)
+    while len(ids) < target:
+        near = [b for b, r in far.items() if (np.sqrt(((new - pivots[b]) ** 2).sum(1)) - r < np.sqrt(most[b]) * (1 + 1e-9) + 1e-12).any()]
+        read = held.where(F.col("block").isin(near)).mapInPandas(_nearest(new, "d", "distance"), "id long, v array<double>, block long, d double").select("id", "block", "d")
+        state = cut(state.join(read, ["block", "id"], "left").select("id", "block", F.least("least", F.coalesce("d", "least")).alias("least")))
+        most = dict(state.groupBy("block").agg(F.max("least")).collect())
+        top = state.orderBy(F.desc("least"), "id").limit(offered + 1).collect()
+        below = top[offered].least if len(top) > offered else -1.0
+        chosen = spark.createDataFrame([(r.id, r.block, r.least) for r in top[:offered]], "id long, block long, least double")
+        found = sorted(held.where(F.col("block").isin(sorted({r.block for r in top[:offered]}))).join(F.broadcast(chosen), ["block", "id"]).select("id", "v", "least").collect())
+        v, left = np.array([r.v for r in found], float), np.array([r.least for r in found])
+        taken: list[int] = []
+        while len(ids) + len(taken) < target and (not taken or left.max() > below):
+            taken.append(int(left.argmax()))
+            left = np.minimum(left, ((v - v[taken[-1]]) ** 2).sum(1))
+        ids += [found[at].id for at in taken]
+        new = v[taken]
+    picks = spark.createDataFrame(list(enumerate(ids)), "pick int, id long")  # as many as the coreset has rows
+    return picks.join(rows, "id").select("id", "v", "pick")
+
+
+def _block_reach(pivots: np.ndarray):
+    def run(frames):
+        for pdf in frames:
+            v, b = np.array(pdf["v"].tolist(), float).reshape(len(pdf), pivots.shape[1]), pdf["block"].to_numpy()
+            yield pd.DataFrame({"block": b, "far": np.sqrt(((v - pivots[b]) ** 2).sum(1))}).groupby("block", as_index=False).max()
+
+    return run

@@ -279,3 +279,22 @@ def test_stream(spark, tmp_path, threshold):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     score_stream(stream, bank, threshold, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {r.id: r.anomaly for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: False, 2: True}
+
+
+@pytest.mark.parametrize(("rows", "block_rows", "offered", "ratio"), [(400, 50, 20, 0.1), (400, 1000, 1000, 0.3), (60, 5, 3, 1.0)])
+def test_exact_coreset_of_many_blocks(spark, rows, block_rows, offered, ratio):
+    """The same picks in the same order as one pass, also with equal rows and distances that tie."""
+    rng = np.random.default_rng(rows)
+    v = np.round(rng.normal(size=(rows, 4)) * 3) / 2 if rows < 100 else rng.normal(size=(rows, 6)) + 5 * rng.integers(0, 3, (rows, 1))
+    v = v[np.unique(v, axis=0, return_index=True)[1]] if ratio == 1 else v
+    df = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = sorted((r.pick, r.id) for r in coreset.exact(df, ratio, block_rows=block_rows, offered=offered).collect())
+    want = coreset.farthest_points(v, max(1, int(len(v) * ratio)))
+    assert got == [(k, int(i) * 3) for k, i in enumerate(want)]
+
+
+def test_exact_coreset_of_nothing(spark):
+    df = spark.createDataFrame([], "id long, v array<double>")
+    assert coreset.exact(df, 0.5).count() == 0
+    one = coreset.exact(spark.createDataFrame([(5, [1.0])], "id long, v array<double>"), 0.5).collect()
+    assert [(r.id, r.pick) for r in one] == [(5, 0)]
