@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions import generators, shapes, stencils
-from seamline.operators import drawing, equalise, grid, knn
+from seamline.operators import coreset, drawing, equalise, grid, knn
 from seamline.plans.lineage import own_folder
 from seamline.plans.queries import _t, query
 from seamline.sources import pixels, store
@@ -343,3 +343,15 @@ def status_of_jobs(spark, sf):
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     lines = F.array(text("Spec: ", e % 7, "x", e % 3, " | Group ", e % 5), text("Self-validation round ", e % 3 + 1, "/3"), text("Round ", e % 3, " features: ", e % 100, "%"), text("Scoring: ", e % 100, "%"), F.lit("nothing to see"))
     return status.last_status(_t(spark, sf, "events").select(F.col("user_id").alias("job"), e.alias("at"), F.get(lines, (e % 5).cast("int")).alias("line")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT 0 AS pick, vec_id AS id, [v] AS found FROM e WHERE vec_id = (SELECT min(vec_id) FROM e)
+  UNION ALL
+  SELECT pick + 1, b.vec_id, list_append(found, b.v) FROM (SELECT p.pick, p.found, arg_max({'vec_id': e.vec_id, 'v': e.v}, {'d': list_min(list_transform(found, lambda x: list_distance(e.v, x))), 'low': -e.vec_id}) AS b FROM p, e GROUP BY ALL)
+  WHERE pick + 1 < (SELECT CAST(floor(count(*) * 0.02) AS INTEGER) FROM e))
+SELECT CAST(pick AS INTEGER) AS pick, id FROM p""")
+def coreset_exact(spark, sf):
+    """The farthest-point coreset of all vectors, in the order of picks."""
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return coreset.exact(rows, 0.02).select("pick", "id")
