@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -391,3 +392,27 @@ def test_empty_tables(spark):
     assert [df.count() for df in runs] == [0] * len(runs)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), 20).count() == 0
     assert chat.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("fan_in", [7, 50])
+def test_shards_of_partial_partitions_in_levels(spark, fan_in):
+    """Far more groups than one task combines: levels of partial partitions, against sums worked out block by block."""
+    rng = random.Random(13)
+    sizes = {hashlib.sha256(str(i).encode()).digest(): rng.choice([8, 50, 900, rng.randint(1000, 9000)]) for i in range(400)}
+    groups = spark.createDataFrame([(bytearray(d), n) for d, n in sizes.items()], "digest binary, bytes long")
+    placed = {bytes(r.digest): r.shard for r in sharding.balance(groups, 6, len(sizes), fan_in).collect()}
+    assert set(placed) == set(sizes) and set(placed.values()) == set(range(6))
+    held = [sum(n for d, n in sizes.items() if placed[d] == s) for s in range(6)]
+    assert max(held) - min(held) <= max(sizes.values())
+    blocks = -(-len(sizes) // fan_in)
+    of = {bytes(r.digest): r.b for r in groups.select("digest", sharding.bucket_of(F.xxhash64("digest"), blocks).alias("b")).collect()}
+    level = {}
+    for b in set(of.values()):
+        own = sorted((d for d in sizes if of[d] == b), key=lambda d: (-sizes[d], d))
+        level[b] = sharding.difference(np.array([[sizes[d]] + [0] * 5 for d in own]))[1]
+    while blocks > 1:
+        above = {}
+        for b in sorted(level):
+            above.setdefault(b // fan_in, []).append(level[b])
+        level, blocks = {a: sharding.difference(np.array(p))[1] for a, p in above.items()}, -(-blocks // fan_in)
+    assert held == level[0].tolist()
