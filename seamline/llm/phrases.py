@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import pack_words, unpack_words
-from .common import bound_batches, table, written
+from .common import bound_batches, discard, table, written
 from .textblock import mix
 
 #: Least count of a candidate, words of the longest, the share (of 100) of its count at which a longer one replaces it, phrases a language.
 LEAST, LONGEST, REPLACED, TOP = 30, 4, 80, 2_000
 #: Words of a chunk, and bytes of a text that are split together.
-CHUNK_WORDS, SLICE_BYTES = 2_000_000, 1 << 20
+CHUNK_WORDS, SLICE_BYTES = 1_000_000, 1 << 20
 #: Entries of a bucket, about.
-BUCKET_ENTRIES = 3_000_000
+BUCKET_ENTRIES = 1_500_000
 #: A name is its phrase's words (up to 7), its bucket, and its number there, from these bits on. A chunk's number is its task's and, in the low bits, a count.
 WORDS_BITS, BUCKET_BITS, COUNT_BITS = 60, 36, 16
 #: Parts of a language's phrases that are ranked apart, before their best are ranked together.
@@ -256,8 +256,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = lambda entries: max(1, -(-entries // BUCKET_ENTRIES))
     level = written(rows.mapInArrow(_first_level(chunk_words, longest, buckets(chars // 12)), _LISTS_SQL), "words")
-    totals = level.where("bucket >= 0").select("words", "counts").mapInArrow(_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
-    totals = totals.where("n > 0")
+    counts = level.where("bucket >= 0").select("words", "counts").mapInArrow(_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = written(counts.where("n > 0"), "totals")
     names = []
     for words in range(1, longest + 1):
         lists = level.where("bucket >= 0").select("chunk", "bucket", "places", "counts", *(["words"] if words == 1 else ["l", "r"]))
@@ -267,7 +267,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
             live = names[-1].agg(F.sum("f")).first()[0] or 0  # places that have a name
             state = level.where("bucket = -1").select("chunk", "places", "lead")
             answers = told.where("id is null").select("chunk", "places", "ids")
-            level = written(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(words + 1, buckets(live)), _LISTS_SQL), "pairs")
+            last, level = level, written(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(words + 1, buckets(live)), _LISTS_SQL), "pairs")
+            discard(last)  # the next level is written, so nothing reads this one again
+    discard(level)
     none = F.array().cast("array<long>")
     levels = [names[0].select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), none.alias("firsts"), none.alias("lasts"), none.alias("parts"))]
     for words in range(2, longest + 1):
