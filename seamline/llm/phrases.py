@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,14 +63,14 @@ class _Words(dict):
 
 def pack(x: np.ndarray) -> bytes:
     """64-bit numbers, their bytes of one weight together, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 6)
 
 
 def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-#: What chunks hand on: their state (bucket -1: codes of places, and lead) and a list a bucket (places in the chunk, counts, and words or both parents).
+#: What chunks hand on: their state (bucket -1: codes of places from 1, 0 for none, and lead) and a list a bucket (places in the chunk, counts, and words or both parents).
 _LISTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("lead", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("l", pa.binary()), ("r", pa.binary())])
 _LISTS_SQL = "chunk long, bucket long, lead long, places binary, counts binary, words binary, l binary, r binary"
 #: What buckets say: to a chunk, the names of some of its places; and, a row each, the names.
@@ -83,7 +83,7 @@ def _handed_on(chunk: int, lead: int, codes: np.ndarray, bucket: np.ndarray, cou
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     parts = np.split(order, cuts) if len(order) else []
-    rows = [{"chunk": chunk, "bucket": -1, "lead": lead, "places": pack(codes)}, *({"chunk": chunk, "bucket": int(bucket[at[0]]), "places": pack(np.diff(at, prepend=0)), "counts": pack(counts[at]), **lists(at)} for at in parts)]
+    rows = [{"chunk": chunk, "bucket": -1, "lead": lead, "places": pack(codes.astype(np.int64) + 1)}, *({"chunk": chunk, "bucket": int(bucket[at[0]]), "places": pack(np.diff(at, prepend=0)), "counts": pack(counts[at]), **lists(at)} for at in parts)]
     return pa.Table.from_pylist(rows, schema=_LISTS)
 
 
@@ -150,7 +150,7 @@ def _next_level(words: int, buckets: int):
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _LISTS.empty_table()
-        codes, lead = unpack(left.column("places")[0].as_py()), left.column("lead")[0].as_py()
+        codes, lead = unpack(left.column("places")[0].as_py()) - 1, left.column("lead")[0].as_py()
         places = np.concatenate([unpack(x.as_py()) for x in right.column("places")])
         span = max(int(codes.max(initial=0)), int(places.max(initial=0))) + 1
         name = np.full(span + 1, -1, np.int64)

@@ -47,7 +47,7 @@ def items(spark, rows):
 ITEMS = [(1, "w1 W2 w3, the of and日本"), (2, "Ünï the"), (2, "THE w9"), (3, None), (3, ""), (4, "nowhere-at all"), (None, "w5 w6"), (5, "a b c line one"), (6, " ".join(f"w{i}" for i in range(300)))]
 
 
-@pytest.mark.parametrize(("k", "cells", "block_terms", "cut"), [(50, 1 << 20, 200_000, 1 << 20), (3, 8, 200_000, 20), (2, 40, 30, 5), (1, 1, 1, 1 << 20)])
+@pytest.mark.parametrize(("k", "cells", "block_terms", "cut"), [(50, 1 << 20, 200_000, 1 << 20), (3, 8, 200_000, 20), (2, 40, 120, 5)])
 def test_search(spark, monkeypatch, k, cells, block_terms, cut):
     monkeypatch.setattr(lexical, "CELLS", cells)
     monkeypatch.setattr(lexical, "SLICE_BYTES", cut)
