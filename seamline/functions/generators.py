@@ -162,8 +162,10 @@ def ratio_line(level: int, key: Column, pixels: Column, h: int, w: int, unit: fl
     cx, cy = between(key, "line/cx", w // 6, w * 5 // 6 + 1), between(key, "line/cy", h // 6, h * 5 // 6 + 1)
     length, slant = between(key, "line/length", max(1, round(80 * unit)), round(250 * unit) + 1), between(key, "line/slant", -round(15 * unit), round(15 * unit) + 1)
     half, side = F.floor(length / 2), max(1, round(20 * unit))
-    x, y = lambda i: F.pmod(i, F.lit(w)), lambda i: F.floor(i / w)
-    about = F.filter(pixels, lambda _, i: (x(i) >= cx - side) & (x(i) < cx + side) & (y(i) >= cy - half) & (y(i) < cy + half))
-    mean = F.aggregate(about, F.lit(0.0), lambda a, b: a + b) / F.size(about)
+    # lots are drawn once an image, not once a pixel
+    inside = F.struct(F.greatest(cx - side, F.lit(0)).alias("x0"), F.least(cx + side, F.lit(w)).alias("x1"), F.greatest(cy - half, F.lit(0)).alias("y0"), F.least(cy + half, F.lit(h)).alias("y1"))
+    row = lambda q, y: F.slice(pixels, (y * w + q["x0"] + 1).cast("int"), (q["x1"] - q["x0"]).cast("int"))
+    about = let(inside, lambda q: F.flatten(F.transform(F.filter(F.sequence(q["y0"], q["y1"]), lambda y: y < q["y1"]), lambda y: row(q, y))))
+    mean = let(about, lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a))
     lean = F.floor(slant / 2)
     return F.array(S.shape(S.LINE, (cx - lean).cast("double"), (cy - half).cast("double"), (cx + lean).cast("double"), (cy + half).cast("double"), r=2.5 * max(unit, 0.2), amount=F.floor(mean * RATIOS[level]).cast("double")))
