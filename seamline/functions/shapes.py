@@ -1,7 +1,7 @@
-"""Shapes drawn on images by expressions on pixel places: no constant per pixel, images of any size.
+"""Shapes drawn on images of any size.
 
 A shape is a struct; pixels take each shape of an array in turn. Coordinates are those of pixel centres, x to the right
-and y down, from 0. ``cover`` says how much of a pixel a shape takes (0 to 1; shadows and grain also below 0).
+and y down, from 0. ``brush.COVER`` says how much of a pixel a shape takes (0 to 1; shadows and grain also below 0).
 """
 
 from __future__ import annotations
@@ -11,18 +11,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .matrices import let
+from . import brush
+from .brush import ADD, BOX, CHIP, DISC, ELLIPSE, FADE, GRAIN, LINE, SEAM, SET, SHADOW, SOFT, STRIPES, WAVE  # noqa: F401
 
 #: form, two points, two lengths, a turn in degrees, what it does, by how much, and how densely.
 SHAPE = "struct<form:int,ax:double,ay:double,bx:double,by:double,r:double,r2:double,turn:double,mode:int,amount:double,alpha:double>"
-#: Forms. LINE: within r of the segment a to b. DISC: within r of a. ELLIPSE: half axes r and r2, turned. BOX: a to b. FADE: Gaussian of spread r. SOFT: disc whose edge
-#: falls from 1 to 0 over r - r2 to r + r2. SHADOW: FADE times the distance to the right over r. STRIPES: every fourth row from ay - r up to ay + r, half in the next. GRAIN: noise in a box, r its seed.
-#: WAVE: sine rows of amplitude r, r2 apart. CHIP: corner triangle of side r. SEAM: sine column about ax, ay - r to ay + r.
-LINE, DISC, ELLIPSE, BOX, FADE, SOFT, SHADOW, STRIPES, GRAIN, WAVE, CHIP, SEAM = range(1, 13)
-#: What a shape does: add amount times cover, or move towards amount by alpha times cover.
-ADD, SET = 1, 2
-#: Added where a length is compared, so that equal ones are within.
-EPS = 1e-9
 
 
 def shape(form: int, ax=0.0, ay=0.0, bx=0.0, by=0.0, r=0.0, r2=0.0, turn=0.0, mode: int = SET, amount=0.0, alpha=1.0) -> Column:
@@ -42,74 +35,13 @@ def near(s: Column, x: Column, y: Column) -> Column:
     return away(x, s["ax"], dx) + away(y, s["ay"], dy)
 
 
-def cover(s: Column, x: Column, y: Column) -> Column:
-    """How much of the pixel at (x, y) shape ``s`` takes."""
-    dx, dy = x - s["ax"], y - s["ay"]
-    d2 = dx * dx + dy * dy
-    fade = F.exp(-d2 / (2 * s["r"] * s["r"]))
-    turn = F.radians(s["turn"])
-    u, v = (dx * F.cos(turn) + dy * F.sin(turn)) / s["r"], (dy * F.cos(turn) - dx * F.sin(turn)) / s["r2"]
-    boxed = (x >= s["ax"] - EPS) & (x <= s["bx"] + EPS) & (y >= s["ay"] - EPS) & (y <= s["by"] + EPS)
-    row = F.floor(y - (s["ay"] - s["r"]) + EPS)
-    stripe = F.when((row < 0) | (y >= s["ay"] + s["r"] - EPS), 0.0).when(row % 4 == 0, 1.0).when(row % 4 == 1, 0.5).otherwise(0.0)
-    mixed = F.pmod((x.cast("long") * 7919 + y.cast("long") * 104_729 + s["r"].cast("long") * 1_299_709) * 15_485_863, F.lit(65_537))
-    grain = F.when(boxed, mixed / 32_768 - 1).otherwise(0.0)
-    wave = F.abs(F.pmod(y - s["r"] * F.sin(x * 0.1), s["r2"]) - 0.5) <= 0.5 + EPS
-    seam = (F.abs(dy) <= s["r"] + EPS) & (F.abs(dx - 5 * F.sin(dy * 0.5)) <= 0.5 + EPS)
-    inside = lambda test: F.when(test, 1.0).otherwise(0.0)
-    box = lambda far, test: inside((F.abs(dx) <= far + EPS) & (F.abs(dy) <= far + EPS) & test)
-    round_ = F.when(s["r2"] > 0, F.least(F.greatest((s["r"] + s["r2"] - F.sqrt(d2)) / (2 * s["r2"]), F.lit(0.0)), F.lit(1.0))).otherwise(inside(d2 <= s["r"] * s["r"] + EPS))
-    by_form = {
-        LINE: inside((x >= F.least(s["ax"], s["bx"]) - s["r"] - EPS) & (x <= F.greatest(s["ax"], s["bx"]) + s["r"] + EPS) & (near(s, x, y) <= s["r"] * s["r"] + EPS)),
-        DISC: box(s["r"], d2 <= s["r"] * s["r"] + EPS),
-        ELLIPSE: box(F.greatest(s["r"], s["r2"]), u * u + v * v <= 1 + EPS),
-        BOX: inside(boxed),
-        FADE: fade,
-        SOFT: round_,
-        SHADOW: fade * dx / s["r"],
-        STRIPES: stripe,
-        GRAIN: grain,
-        WAVE: inside(wave),
-        CHIP: inside(x + y <= s["r"] + EPS),
-        SEAM: inside(seam),
-    }
-    out = F.when(s["form"] == LINE, by_form.pop(LINE))
-    for form, value in by_form.items():
-        out = out.when(s["form"] == form, value)
-    return out.otherwise(0.0)
-
-
 def painted(pixels: Column, width: int, shapes: Column, left: int | Column = 0, top: int | Column = 0) -> Column:
     """A flat image with shapes drawn on it in turn, within 0 to 255. ``left`` and ``top``: where it lies in the shapes' coordinates.
 
-    A pixel meets a shape's box before its cover is worked out.
+    Drawn by NumPy on batches of images: expressions took a pixel through all of a shape's terms, one pixel at a time.
     """
     left, top = (F.lit(v) if isinstance(v, int) else v for v in (left, top))
-    boxes = F.transform(shapes, lambda s: F.struct(s.alias("s"), reach(s).alias("box")))
-
-    def one(p: Column, i: Column, boxed: Column) -> Column:
-        def put(acc: Column, s: Column, at: Column) -> Column:
-            toward = lambda c: F.when(s["mode"] == ADD, acc + s["amount"] * c).otherwise(acc + s["alpha"] * c * (s["amount"] - acc))
-            return let(cover(s, at["x"], at["y"]), toward)
-
-        near = lambda at, b: (at["x"] >= b["x0"] - EPS) & (at["x"] <= b["x1"] + EPS) & (at["y"] >= b["y0"] - EPS) & (at["y"] <= b["y1"] + EPS)
-        within = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0))
-        place = F.struct((F.pmod(i, F.lit(width)) + left).cast("double").alias("x"), (F.floor(i / width) + top).cast("double").alias("y"))
-        return let(place, lambda at: F.aggregate(boxed, p, lambda acc, b: F.when(near(at, b["box"]), put(acc, b["s"], at)).otherwise(acc), within))
-
-    def some(x: Column) -> Column:
-        """Only the rows between the boxes' first and last are worked on."""
-        a, b = x["first"] * width, F.greatest(x["last"] + 1, x["first"]) * width
-        middle = F.transform(F.slice(pixels, a + 1, b - a), lambda p, i: one(p, i + a, x["boxed"]))
-        return F.concat(F.slice(pixels, F.lit(1), a), middle, F.slice(pixels, b + 1, F.size(pixels)))
-
-    def rows(boxed: Column) -> Column:
-        last = (F.size(pixels) / width).cast("int") - 1
-        low, high = F.array_min(F.transform(boxed, lambda b: b["box"]["y0"])) - top, F.array_max(F.transform(boxed, lambda b: b["box"]["y1"])) - top
-        inside = lambda y: F.least(F.greatest(y, F.lit(0)), last + 1).cast("int")
-        return F.struct(boxed.alias("boxed"), inside(F.floor(low)).alias("first"), F.least(inside(F.ceil(high)), last).alias("last"))
-
-    return F.when(F.size(shapes) > 0, let(let(boxes, rows), some)).otherwise(pixels)
+    return brush.painted(pixels, shapes, F.lit(width), left, top)
 
 
 def reach(s: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.functions import generators, shapes, stencils
+from seamline.functions import brush, generators, stencils
+from seamline.functions.matrices import let
 from seamline.operators import coreset, drawing, equalise, grid, knn
 from seamline.plans.lineage import own_folder
 from seamline.plans.queries import _t, query
@@ -26,8 +27,9 @@ def _grey(v):
 
 def big_images(spark, sf) -> DataFrame:
     """id, key, pixels: images of 32 by 32, flat."""
-    at = lambda i: (F.floor(i / SIDE / SCALE) * 8 + F.floor(F.pmod(i, F.lit(SIDE)) / SCALE)).cast("int")
-    flat = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: _grey(F.get(F.col("embedding"), at(i))))
+    at = lambda i: F.shiftright(i, 7) * 8 + F.shiftright(i.bitwiseAND(SIDE - 1), 2)
+    places = F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))  # SIDE is 2 ** 5, SCALE 2 ** 2
+    flat = let(F.transform("embedding", _grey), lambda grey: F.transform(places, lambda i: F.coalesce(F.get(grey, at(i)), F.lit(0.0))))
     return spread(_t(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("string").alias("key"), flat.alias("pixels"))
 
 
@@ -45,8 +47,9 @@ def spread(rows: DataFrame, key: str, many: int = 10_000) -> DataFrame:
 
 def _each(images: DataFrame, kinds: list[tuple]) -> DataFrame:
     """Each image under the shapes of each (kind, level, array of shapes)."""
-    given = images.select("id", "pixels", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("level"), s.alias("s")) for k, n, s in kinds])).alias("d"))
-    return given.select("id", "d.kind", "d.level", _changed(F.col("pixels"), shapes.painted(F.col("pixels"), SIDE, F.col("d.s"))).alias("c")).select("id", "kind", "level", "c.*")
+    names = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("level")) for k, n, _ in kinds])
+    found = images.select("id", "pixels", F.array(*[s for _, _, s in kinds]).alias("sets")).mapInArrow(brush.changes(SIDE), "id long, at int, n int, sum double")
+    return found.withColumn("of", F.get(names, F.col("at"))).select("id", "of.kind", "of.level", F.col("n").alias("n_changed"), F.round(F.col("sum") / (SIDE * SIDE), 5).alias("mean_change"))
 
 
 #: The cover of pixel (x, y) by a shape, for DuckDB.
