@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seamline.functions import names, vectors
 from seamline.functions.stats import percent
 from seamline.operators import catalog, coreset, ensemble, evaluate, grid, knn, metrics, raster, selfval
+from seamline.plans.lineage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,7 +90,7 @@ FROM z s, z t WHERE s.n < 20 AND t.n >= 20 GROUP BY s.spec_key"""
 def catalog_fallback_nearest(spark, sf):
     """For specs of few folders, the nearest spec with enough."""
     size = folders(spark, sf).groupBy("spec_key").agg(F.max("width_mm").alias("w"), F.max("height_mm").alias("h"), F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    point = size.select("id", "spec_key", "n", F.array(F.col("w").cast("double"), F.col("h").cast("double")).alias("v"))
+    point = cut(size.select("id", "spec_key", "n", F.array(F.col("w").cast("double"), F.col("h").cast("double")).alias("v")))  # names are parsed once, not by each use
     near = knn.neighbours(point.where("n < 20"), point.where("n >= 20"), 1)
     return near.join(point.select(F.col("id").alias("query_id"), "spec_key"), "query_id").join(point.select(F.col("id").alias("bank_id"), F.col("spec_key").alias("nearest_spec")), "bank_id").select("spec_key", "nearest_spec", r6(F.col("distance")).alias("distance"))
 

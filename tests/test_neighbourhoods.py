@@ -82,3 +82,11 @@ def test_status_as_a_stream(spark, tmp_path):
             assert {r.job for r in status.current_status(spark, str(tmp_path / "out")).collect()} == {"a", "b"}
     got = {r[0]: tuple(r)[1:] for r in status.current_status(spark, str(tmp_path / "out")).collect()}
     assert got == WANT
+
+
+def test_names_are_parsed_once_for_the_nearest_spec(spark, sf_dir):
+    """The plan that finds the nearest reads specs that are counted already, not orders again."""
+    from seamline.plans.queries import QUERIES
+
+    plan = QUERIES["catalog_fallback_nearest"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "o_custkey" not in plan
