@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .matrices import let
+
 #: The pattern of a spec, and beam sizes in mm by inches.
 SPEC = r"[\s_]((H|W\d+x|HP\d+x)?(\d+)x(\d+))"
 INCH_TO_MM = {"10": 254, "12": 305, "14": 356, "16": 406, "18": 457, "21": 533, "24": 610, "27": 686, "30": 762}
@@ -14,14 +16,17 @@ CAMERA_GROUPS = {1: (1, 10), 2: (2, 9), 3: (3, 8), 4: (4, 7), 5: (5, 6)}
 
 def parse_spec(name: Column) -> Column:
     """struct(raw_spec, width_mm, height_mm); null where the name has no spec or an unknown W size."""
-    part = lambda i: F.regexp_extract(name, SPEC, i)
-    raw, d1, d2 = part(1), part(3).cast("int"), part(4).cast("int")
-    inches = F.regexp_extract(raw, r"^(?:W|HP)(\d+)x", 1)
+    found = let(F.regexp_extract(name, SPEC, 1), lambda raw: F.when(raw != "", F.struct(raw.alias("raw"), F.regexp_extract(raw, r"^(?:W|HP)(\d+)x", 1).alias("inches"), F.split(F.regexp_extract(raw, r"(\d+x\d+)$", 1), "x").alias("d"))))
     known = F.create_map(*[F.lit(x) for kv in INCH_TO_MM.items() for x in kv])
-    size = F.try_element_at(known, inches)
-    width = F.when(raw.startswith("W"), size).when(raw.startswith("HP"), F.coalesce(size, d1)).otherwise(d1)
-    height = F.when(inches != "", width).otherwise(d2)
-    return F.when((raw != "") & width.isNotNull(), F.struct(raw.alias("raw_spec"), width.alias("width_mm"), height.alias("height_mm")))
+
+    def sized(x: Column) -> Column:
+        raw, inches, d1, d2 = x["raw"], x["inches"], x["d"][0].cast("int"), x["d"][1].cast("int")
+        size = F.try_element_at(known, inches)
+        width = F.when(raw.startswith("W"), size).when(raw.startswith("HP"), F.coalesce(size, d1)).otherwise(d1)
+        height = F.when(inches != "", width).otherwise(d2)
+        return F.when(width.isNotNull(), F.struct(raw.alias("raw_spec"), width.alias("width_mm"), height.alias("height_mm")))
+
+    return let(found, sized)
 
 
 def spec_key(raw: Column) -> Column:
