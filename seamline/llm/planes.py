@@ -13,16 +13,18 @@ in halves; validity bits); index; tail (index place, index bytes, documents' pla
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import SparkFiles, TaskContext
@@ -37,7 +39,7 @@ from .common import bound_batches, table
 TOKENIZER = "byte_bpe_50k.json"
 #: The id after each document, ids of a block, ids after which a task begins a new file, and characters of text for each range.
 END_ID, BLOCK, FILE_IDS, RANGE_CHARS = 2, 1 << 16, 1 << 26, 40_000_000
-#: Words that a worker remembers, and characters of a text that are looked at together.
+#: Words, and as many pieces, that a worker remembers, and characters of a text that are looked at together.
 KNOWN_WORDS, SLICE_CHARS = 500_000, 1_000_000
 KINDS = {"byte": 8, "bit": 1}
 _MAGIC = b"seamids1"
@@ -222,12 +224,45 @@ class _Codes(dict):
         return n
 
 
+class _Memory:
+    """Numbered strings, and the ids of each in one array."""
+
+    def __init__(self):
+        self.known, self.size, self.first, self.flat = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
+
+    def learn(self, size: np.ndarray, order: np.ndarray, parts: list[np.ndarray]) -> None:
+        """Sizes of the next strings (-1: no ids), and the ids of those at the places ``order``."""
+        first, count = np.zeros(len(size), np.int64), size[order]
+        first[order] = len(self.flat) + np.cumsum(count) - count
+        self.first, self.size, self.flat = np.r_[self.first, first], np.r_[self.size, size], np.concatenate([self.flat, *parts])
+
+    def ids(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Ids of these strings in a row, ``size`` of each."""
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.first[codes] - ends + size, size) + np.arange(ends[-1])]
+
+
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+#: A word of Latin letters and ASCII alone, without white space at an end, and the pieces that the byte-level pattern makes of such words.
+_PLAIN = re.compile(f"[!-~{_LETTERS}](?:[\\t\\n\\r!-~{_LETTERS}]*[!-~{_LETTERS}])?")
+_PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
+#: The setting of the tokenizer under which its pattern is that one.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: How byte-level vocabularies write bytes: those that Latin-1 shows as they are, the others as characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELT = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class Coder:
     """The tokenizers library behind a memory of words.
 
     The vocabulary's pattern begins a new piece at each space that stands between two characters that aren't white space,
     so what stands between such spaces has the same ids in every text, and is given to the library once. Slices where
-    spaces stand otherwise go to the library as they are.
+    spaces stand otherwise go to the library as they are. Many words are one of few pieces with other marks or lines around it:
+    where the pattern is the usual byte-level one, plain words are put together from pieces, and the library gets each piece once.
     """
 
     def __init__(self, path: str):
@@ -238,64 +273,93 @@ class Coder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # how byte-level vocabularies write a space
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.size, self.first, self.flat = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        setting = json.loads(self.tokenizer.to_str())
+        pattern = setting["pre_tokenizer"] or {}
+        self.by_pieces = setting["normalizer"] is None and all(pattern.get(k) == v for k, v in _BYTE_LEVEL.items())
+        self.model = self.tokenizer.model
+        self.pieces, self.words = _Memory(), _Memory()
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _by_model(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces without white space but a first space: what the pattern leaves whole needs only the library's merges."""
+        spelt = "\n".join(pieces).encode().decode("latin-1").translate(_SPELT).split(_SPELT[10])
+        return [np.array([t.id for t in self.model.tokenize(p)], np.uint32) for p in spelt]
+
+    def _from_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of plain words, each after a space."""
+        if len(self.pieces.known) > KNOWN_WORDS:
+            self.pieces = _Memory()
+        before, found = len(self.pieces.known), _PIECES.findall(" " + " ".join(words))
+        codes = self.pieces.numbers(found)
+        fresh = list(islice(self.pieces.known, before, None))
+        blank = np.fromiter(map(str.isspace, fresh), bool, len(fresh))
+        if fresh:
+            got = self._by_model([p for p in fresh if not p.isspace()]) if not blank.all() else []
+            got += self.library([p for p in fresh if p.isspace()])
+            order, size = np.r_[np.flatnonzero(~blank), np.flatnonzero(blank)], np.empty(len(fresh), np.int64)
+            size[order] = [len(x) for x in got]
+            self.pieces.learn(size, order, got)
+        heads = np.flatnonzero(np.fromiter((p[0] == " " for p in found), bool, len(found)))
+        size = self.pieces.size[codes]
+        return np.add.reduceat(size, heads), self.pieces.ids(codes, size)
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. A size of -1 marks one with white space at an end, which has no ids of its own.
 
         A word that begins a text is written with a space before it, as other words have none in them.
         """
+        plain = np.fromiter((self.by_pieces and _PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        size, parts = np.full(len(words), -1, np.int64), []
+        if plain.any():
+            size[plain], ids = self._from_pieces([w for w, ok in zip(words, plain.tolist(), strict=True) if ok])
+            parts.append(ids)
+        got = self._by_library([w for w, ok in zip(words, plain.tolist(), strict=True) if not ok])
+        size[~plain] = [-1 if x is None else len(x) for x in got]
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain & (size >= 0))]
+        self.words.learn(size, order, [*parts, *(x for x in got if x is not None)])
+
+    def _by_library(self, words: list[str]) -> list[np.ndarray | None]:
         fit = [bool(w.lstrip(" ")) and not w[-1].isspace() and not w.removeprefix(" ")[0].isspace() for w in words]
         inner = [w for w, ok in zip(words, fit, strict=True) if ok and w[0] != " "]
         heads = self.library([w[1:] for w, ok in zip(words, fit, strict=True) if ok and w[0] == " "])
         found: list[np.ndarray] = []
         if inner:
-            ids = np.array(self.tokenizer.encode(" " + " ".join(inner), add_special_tokens=False).ids, np.uint32)
+            ids = self.library([" " + " ".join(inner)])[0]
             cuts = np.flatnonzero(self.opens[ids])
             found = np.split(ids, cuts[1:]) if len(cuts) == len(inner) else self.library([" " + w for w in inner])
         inner_at, head_at = iter(found), iter(heads)
-        none = np.zeros(0, np.uint32)
-        got = [(next(head_at) if w[0] == " " else next(inner_at)) if ok else none for w, ok in zip(words, fit, strict=True)]
-        size = np.array([len(x) for x in got], np.int64)
-        self.first = np.r_[self.first, len(self.flat) + np.cumsum(size) - size]
-        self.size = np.r_[self.size, np.where(fit, size, -1)]
-        self.flat = np.concatenate([self.flat, *got])
+        return [(next(head_at) if w[0] == " " else next(inner_at)) if ok else None for w, ok in zip(words, fit, strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them for the whole text."""
-        if len(self.known) > KNOWN_WORDS:
-            self.forget()
+        if len(self.words.known) > KNOWN_WORDS:
+            self.words = _Memory()
         slices, owner = [], []
         for k, text in enumerate(texts):
             for part in _slices(text):
                 slices.append(part)
                 owner.append(k)
-        before = len(self.known)
-        codes = []
-        for goes_on, part in slices:
-            words = part.split(" ")
-            if goes_on:
-                del words[0]
-            else:
-                words[0] = " " + words[0]
-            codes.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
-        fresh_words = list(islice(self.known, before, None))
+        if not slices:
+            return []
+        before = len(self.words.known)
+        split = pc.split_pattern(pa.array([part for _, part in slices], pa.large_string()), " ")
+        starts, words = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
+        codes = self.words.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        goes_on = np.array([g for g, _ in slices])
+        codes[starts[:-1][~goes_on]] = self.words.numbers([" " + part.split(" ", 1)[0] for g, part in slices if not g])
+        fresh_words = list(islice(self.words.known, before, None))
         for i in range(0, len(fresh_words), 50_000):
             self._learn(fresh_words[i : i + 50_000])
+        size = self.words.size[codes]
+        size[starts[:-1][goes_on]] = 0  # nothing, before the space that such a slice begins with
+        whole = np.minimum.reduceat(size, starts[:-1]) < 0
+        size[np.repeat(whole, np.diff(starts))] = 0
+        ids, ends = self.words.ids(codes, size), np.r_[0, np.cumsum(size)][starts]
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        for (_, part), c, k in zip(slices, codes, owner, strict=True):
-            size = self.size[c]
-            if size.min() < 0:
-                out[k].append(self.library([part])[0])
-                continue
-            ends = np.cumsum(size)
-            out[k].append(self.flat[np.repeat(self.first[c] - ends + size, size) + np.arange(ends[-1])])
+        for (_, part), k, a, b, w in zip(slices, owner, ends[:-1].tolist(), ends[1:].tolist(), whole.tolist(), strict=True):
+            out[k].append(self.library([part])[0] if w else ids[a:b])
         return [np.concatenate(x) for x in out]
 
 

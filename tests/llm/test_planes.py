@@ -52,6 +52,18 @@ def test_words_have_the_same_ids_in_every_text():
         assert [x.tolist() for x in coder.encode(texts)] == [x[:-1] for x in library(texts)]
 
 
+def test_words_of_known_pieces_are_not_given_to_the_library_again():
+    coder = planes.Coder(PATH)
+    stems = [f"{a}{b}{c}" for a in "kqz" for b in ("aé", "Öl", "um") for c in "rst"]
+    coder.encode([" ".join(f"{s} 12 {s}. {s}\n{s}" for s in stems)])
+    given, whole, by_model = [], coder.library, coder._by_model
+    coder.library = lambda texts: given.extend(texts) or whole(texts)
+    coder._by_model = lambda pieces: given.extend(pieces) or by_model(pieces)
+    texts = [" ".join(f"x {s}.\n{t} {t}12.{s}" for s in stems for t in stems) + " it's 'll\n\nwe'd\t12 ''s _a <|endoftext|> a\r\nb ſ×ÿ÷ aª1² x́y"]
+    assert [x.tolist() for x in coder.encode(texts)] == [x[:-1] for x in library(texts)]
+    assert sum(map(len, given)) < 500 < len(texts[0]) // 20
+
+
 def test_slices_and_forgetting(monkeypatch):
     monkeypatch.setattr(planes, "SLICE_CHARS", 5)
     monkeypatch.setattr(planes, "KNOWN_WORDS", 3)
