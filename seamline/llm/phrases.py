@@ -70,6 +70,30 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def _dense(name: np.ndarray, spread: int) -> np.ndarray:
+    """Names of one level, dealt by ``spread`` buckets, as numbers without gaps between buckets."""
+    bucket = name >> BUCKET_BITS & (1 << WORDS_BITS - BUCKET_BITS) - 1
+    return (name & (1 << BUCKET_BITS) - 1) * spread + bucket
+
+
+def pack_pairs(l: np.ndarray, r: np.ndarray) -> dict[str, bytes]:
+    """Different pairs of dense names in ascending order as their steps, none of which is negative."""
+    step = np.diff(l, prepend=0)
+    begins = step > 0
+    begins[:1] = True
+    return {"l": pack(step), "r": pack(np.where(begins, r, np.diff(r, prepend=0)))}
+
+
+def unpack_pairs(l: bytes, r: bytes, words: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of phrases of ``words`` words from what ``pack_pairs`` gave."""
+    step, r = unpack(l), unpack(r)
+    begins = step > 0
+    begins[:1] = True
+    total, at = np.cumsum(r), np.flatnonzero(begins)
+    r = total - np.repeat(total[at] - r[at], np.diff(np.r_[at, len(r)]))
+    return tuple(words << WORDS_BITS | x % spread << BUCKET_BITS | x // spread for x in (np.cumsum(step), r))
+
+
 #: What chunks hand on: their state (bucket -1: codes of places from 1, 0 for none, and lead) and a list a bucket (places in the chunk, counts, and words or both parents).
 _LISTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("lead", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("l", pa.binary()), ("r", pa.binary())])
 _LISTS_SQL = "chunk long, bucket long, lead long, places binary, counts binary, words binary, l binary, r binary"
@@ -144,8 +168,11 @@ def _first_level(chunk_words: int, longest: int, buckets: int):
     return code
 
 
-def _next_level(words: int, buckets: int):
-    """Pairs of adjacent names, phrases of ``words`` words, from a chunk's codes and the names of those that are frequent."""
+def _next_level(words: int, buckets: int, spread: int):
+    """Pairs of adjacent names, phrases of ``words`` words, from a chunk's codes and the names of those that are frequent.
+
+    A chunk numbers its pairs by bucket and then by name, so that lists hold small steps. ``spread``: buckets of the level before.
+    """
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -159,12 +186,17 @@ def _next_level(words: int, buckets: int):
         at = np.flatnonzero(named[:-1] & named[1:])
         pairs, inverse = np.unique(codes[at] * span + codes[at + 1], return_inverse=True)
         counts = np.bincount(inverse, weights=at + words - 1 >= lead, minlength=len(pairs)).astype(np.int64)
-        new = np.full(max(len(codes) - 1, 0), -1, np.int64)
-        new[at] = inverse
         l, r = name[pairs // span], name[pairs % span]
         with np.errstate(over="ignore"):
             bucket = (mix(mix(l.astype(np.uint64)) + r.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        return _handed_on(left.column("chunk")[0].as_py(), lead, new, bucket, counts, lambda k: {"l": pack(l[k]), "r": pack(r[k])})
+        l, r = _dense(l, spread), _dense(r, spread)
+        order = np.lexsort((r, l, bucket))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        new = np.full(max(len(codes) - 1, 0), -1, np.int64)
+        new[at] = number[inverse]
+        l, r = l[order], r[order]
+        return _handed_on(left.column("chunk")[0].as_py(), lead, new, bucket[order], counts[order], lambda k: pack_pairs(l[k], r[k]))
 
     return pair
 
@@ -179,8 +211,8 @@ def _answers(chunks: pa.ChunkedArray, place: np.ndarray, name: np.ndarray, ends:
     return out
 
 
-def _summed(words: int, least: int):
-    """A bucket's lists summed: names for what is counted ``least`` times over all chunks, in the order of the keys."""
+def _summed(words: int, least: int, spread: int):
+    """A bucket's lists summed: names for what is counted ``least`` times over all chunks, in the order of the keys. ``spread``: buckets of the level before."""
 
     def name(group: pa.Table) -> pa.Table:
         first = words << WORDS_BITS | group.column("bucket")[0].as_py() << BUCKET_BITS
@@ -193,7 +225,8 @@ def _summed(words: int, least: int):
             key = np.fromiter(map(number.__getitem__, listed), np.int64, len(listed))
             total = np.bincount(key, weights=count, minlength=len(number)).astype(np.int64)
         else:
-            l, r = (np.concatenate([unpack(x.as_py()) for x in group.column(c)]) for c in ("l", "r"))
+            both = [unpack_pairs(a.as_py(), b.as_py(), words - 1, spread) for a, b in zip(group.column("l"), group.column("r"), strict=True)]
+            l, r = (np.concatenate(x) for x in zip(*both, strict=True))
             order = np.lexsort((r, l))
             new = np.r_[True, (l[order][1:] != l[order][:-1]) | (r[order][1:] != r[order][:-1])]
             key = np.empty(len(order), np.int64)
@@ -255,19 +288,21 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = lambda entries: max(1, -(-entries // BUCKET_ENTRIES))
-    level = written(rows.mapInArrow(_first_level(chunk_words, longest, buckets(chars // 12)), _LISTS_SQL), "words")
+    spread, dealt = 0, buckets(chars // 12)  # buckets of the level before, and of this one
+    level = written(rows.mapInArrow(_first_level(chunk_words, longest, dealt), _LISTS_SQL), "words")
     counts = level.where("bucket >= 0").select("words", "counts").mapInArrow(_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     totals = written(counts.where("n > 0"), "totals")
     names = []
     for words in range(1, longest + 1):
         lists = level.where("bucket >= 0").select("chunk", "bucket", "places", "counts", *(["words"] if words == 1 else ["l", "r"]))
-        told = written(lists.groupBy("bucket").applyInArrow(_summed(words, least), _TOLD_SQL), "named")
+        told = written(lists.groupBy("bucket").applyInArrow(_summed(words, least, spread), _TOLD_SQL), "named")
         names.append(told.where("id is not null").select("id", "f", *(["lang", "word"] if words == 1 else ["l", "r"])))
         if words < longest:
             live = names[-1].agg(F.sum("f")).first()[0] or 0  # places that have a name
             state = level.where("bucket = -1").select("chunk", "places", "lead")
             answers = told.where("id is null").select("chunk", "places", "ids")
-            last, level = level, written(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(words + 1, buckets(live)), _LISTS_SQL), "pairs")
+            spread, dealt = dealt, buckets(live)
+            last, level = level, written(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(words + 1, dealt, spread), _LISTS_SQL), "pairs")
             discard(last)  # the next level is written, so nothing reads this one again
     discard(level)
     none = F.array().cast("array<long>")

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from seamline.llm import phrases
@@ -72,6 +73,25 @@ def test_chunks_end_anywhere(spark):
     assert result(phrases.collocations(data.frame(spark, [(0, *rows[0], "s")]), least=2, chunk_words=1)) == want
 
 
+@pytest.mark.parametrize(("spread", "names", "n"), [(1, 1, 1), (1, 40, 500), (7, 5_000, 100_000), (1_000, 3_000, 20_000), (1 << 24, 50, 300)])
+def test_pairs_as_steps(spread, names, n):
+    rng = np.random.default_rng(3)
+    name = 1 << phrases.WORDS_BITS | rng.integers(0, spread, names) << phrases.BUCKET_BITS | rng.integers(0, 1 << 35 if names == 50 else 10_000, names)
+    pair = np.unique(rng.integers(0, names, (2, n)), axis=1)  # as a chunk comes on them, not by name
+    l, r = phrases._dense(name[pair[0]], spread), phrases._dense(name[pair[1]], spread)
+    order = np.lexsort((r, l))
+    l, r = l[order], r[order]
+    packed = phrases.pack_pairs(l, r)
+    found = phrases.unpack_pairs(packed["l"], packed["r"], 1, spread)
+    assert [x.tolist() for x in found] == [name[pair[k]][order].tolist() for k in (0, 1)]
+    if n == 100_000:  # one bucket of eight: what it had in the order of the chunk's words, with places, and what it has now
+        at = np.flatnonzero(rng.integers(0, 8, pair.shape[1]) == 0)
+        plain = [phrases.pack(y) for y in (name[pair[0, at]], name[pair[1, at]], np.diff(at, prepend=0))]
+        own = np.sort(np.argsort(order)[at])
+        now = phrases.pack_pairs(l[own], r[own])
+        assert sum(map(len, now.values())) + len(phrases.pack(np.diff(np.arange(len(own)), prepend=0))) < 0.7 * sum(map(len, plain))
+
+
 def test_exact_beyond_64_bits(spark):
     df = spark.createDataFrame([(9_000_000_000_000, [9_100_000_000_000], [9_200_000_000_001])], "f long, firsts array<long>, lasts array<long>")
     assert df.selectExpr(f"{phrases._SCORED}.score AS s").first().s == 2_000_000 * 9_000_000_000_000 // (9_100_000_000_000 + 9_200_000_000_001)
